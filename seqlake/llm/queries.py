@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, packing, quality, simhash
+from . import chat, decontaminate, exact_dedup, html_text, langid, packing, pii, quality, simhash, toxicity
 from .common import table
 
 
@@ -15,10 +15,27 @@ def tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversation 2k is the chosen one of pair k, 2k + 1 the rejected one."""
+    return chat.preference(chat.neighbours(table(spark, sf_dir, "conversations")))
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.predictions(table(spark, sf_dir, "documents"))
+
+
 def pieces(docs: DataFrame) -> DataFrame:
     return packing.pack(docs, tokenizer()).drop("ids", "source", "window")
 
@@ -36,15 +53,42 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("items")
 
 
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(table(spark, sf_dir, "documents"))
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.classes(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op4_quality, op6_packing, op7_simhash, op8_decontamination, op10_exact_dedup)}
+QUERIES = {f.__name__: f for f in (
+    op1_chat_formatting, op2_toxicity, op3_html_extraction, op4_quality, op5_language_id,
+    op6_packing, op7_simhash, op8_decontamination, op9_pii, op10_exact_dedup,
+)}
 
 _FOLDED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 SQL = {
+    "op1_chat_formatting": """
+WITH t AS (SELECT conv_id // 2 AS pair_id, conv_id % 2 AS side, coalesce(role, '') AS role, coalesce(text, '') AS text,
+             row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS i
+           FROM conversations WHERE conv_id IS NOT NULL),
+r AS (SELECT *, concat('<|', role, '|>', chr(10), text, chr(10), '<|end|>', chr(10)) AS s FROM t),
+n AS (SELECT pair_id, count(*) FILTER (side = 0) AS n0, count(*) FILTER (side = 1) AS n1 FROM r GROUP BY pair_id),
+d AS (SELECT a.pair_id, min(a.i) AS i FROM r a JOIN r b ON a.pair_id = b.pair_id AND a.i = b.i AND a.side = 0 AND b.side = 1
+      WHERE a.role <> b.role OR a.text <> b.text GROUP BY a.pair_id),
+p AS (SELECT n.pair_id, n0, n1, CASE WHEN n0 = 0 OR n1 = 0 THEN 0 ELSE coalesce(d.i - 1, least(n0, n1)) END AS k FROM n LEFT JOIN d USING (pair_id)),
+c AS (SELECT r.*, k, sum(length(s)) OVER (PARTITION BY r.pair_id, side, i > k ORDER BY i) - length(s) + length(role) + 5 AS b FROM r JOIN p USING (pair_id)),
+o AS (SELECT pair_id,
+        coalesce(string_agg(s, '' ORDER BY i) FILTER (i <= k AND side = 0), '') AS prompt,
+        coalesce(string_agg(s, '' ORDER BY i) FILTER (i > k AND side = 0), '') AS chosen,
+        coalesce(string_agg(s, '' ORDER BY i) FILTER (i > k AND side = 1), '') AS rejected,
+        coalesce(string_agg(concat(CAST(b AS BIGINT), ':', CAST(b + length(text) AS BIGINT)), ',' ORDER BY i) FILTER (i > k AND side = 0 AND role = 'assistant'), '') AS chosen_mask,
+        coalesce(string_agg(concat(CAST(b AS BIGINT), ':', CAST(b + length(text) AS BIGINT)), ',' ORDER BY i) FILTER (i > k AND side = 1 AND role = 'assistant'), '') AS rejected_mask
+      FROM c GROUP BY pair_id)
+SELECT pair_id, CAST(k AS BIGINT) AS prompt_turns, prompt, CASE WHEN n0 > 0 THEN chosen END AS chosen, CASE WHEN n1 > 0 THEN rejected END AS rejected,
+       CASE WHEN n0 > 0 THEN chosen_mask END AS chosen_mask, CASE WHEN n1 > 0 THEN rejected_mask END AS rejected_mask
+FROM o JOIN p USING (pair_id)""",
     "op10_exact_dedup": f"""
 WITH d AS (SELECT doc_id, {_FOLDED} AS t FROM documents)
 SELECT doc_id, max(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
