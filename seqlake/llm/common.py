@@ -95,6 +95,21 @@ def on_arrow(kind: str):
     return wrap
 
 
+class Recipe:
+    """A model that each Python worker builds from small parts, once; only the parts are sent."""
+
+    def __init__(self, build, *parts):
+        self.build, self.parts, self._made = build, parts, None
+
+    def __getstate__(self):
+        return {"build": self.build, "parts": self.parts, "_made": None}
+
+    def made(self):
+        if self._made is None:
+            self._made = self.build(*self.parts)
+        return self._made
+
+
 def fold(doc_id: Column, n: int) -> Column:
     """crc32 of the id as text, mod n; a null id counts as empty text."""
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(n))
@@ -135,4 +150,4 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-__all__ = ["binary", "chunks", "exclusive_prefix", "fold", "on_arrow", "row_numbered", "shared_dir", "stored", "table"]
+__all__ = ["Recipe", "binary", "chunks", "exclusive_prefix", "fold", "on_arrow", "row_numbered", "shared_dir", "stored", "table"]

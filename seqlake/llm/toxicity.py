@@ -108,9 +108,11 @@ def _mixed(counts: np.ndarray, lower: np.ndarray, discount: float) -> np.ndarray
 class Model:
     """log P by order-5 key for each class (0 ordinary, 1 toxic), and the ratios of the words kept."""
 
-    def __init__(self, every: np.ndarray, keys: np.ndarray, n: np.ndarray, words: np.ndarray, word_n: np.ndarray, facts: np.ndarray):
-        """every: counts by order-4 key; n, word_n: (2, len) counts by class; facts: (2, 4) tokens, types, types seen once and twice."""
-        counts = [every.astype(np.float32)]
+    def __init__(self, every_key: np.ndarray, every_n: np.ndarray, keys: np.ndarray, n: np.ndarray, words: np.ndarray, word_n: np.ndarray, facts: np.ndarray):
+        """every: counts of all texts by order-4 key; n, word_n: (2, len) counts by class; facts: (2, 4) tokens, types, types seen once and twice."""
+        every = np.zeros(32**4, np.float32)
+        every[every_key] = every_n
+        counts = [every]
         while len(counts[-1]) > 32:
             counts.append(_below(counts[-1]))
         shared = _mixed(counts[-1], np.full(32, 1 / 32, np.float32), _discount(counts[-1]))
@@ -240,7 +242,8 @@ def labelled_sample(labels: DataFrame, most: int = MOST_LABELS) -> DataFrame:
     return part(0).unionByName(part(1))
 
 
-def fit(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELS) -> tuple[Model | None, Curve]:
+def fit(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELS):
+    """A broadcast recipe of the model (None without labels of both classes), and the curve."""
     spark = docs.sparkSession
     sample = common.stored(labelled_sample(labels, most), "labels")
     thin = docs.select(F.col("doc_id").alias("doc_id"), "text")
@@ -254,20 +257,19 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELS) -> tuple[Mo
     part, key, o, t = (kept[c].to_numpy() for c in ("part", "key", "o", "t"))
     if not (facts[0] and facts[4]):
         return None, Curve(np.zeros((0, SIZE)), np.zeros(0))
-    every = np.zeros(32**4, np.int64)
-    every[key[part == ALL]] = o[part == ALL]
     n = np.array([o, t])
-    model = Model(every, key[part == SPELT], n[:, part == SPELT], key[part == WORD].astype(np.int64), n[:, part == WORD], np.array(facts).reshape(2, 4))
-    found = evidence_udf(spark.sparkContext.broadcast(model))
+    cells = (key[part == ALL], o[part == ALL], key[part == SPELT], n[:, part == SPELT], key[part == WORD].astype(np.int64), n[:, part == WORD])
+    sent = spark.sparkContext.broadcast(common.Recipe(Model, *cells, np.array(facts).reshape(2, 4)))
+    found = evidence_udf(sent)
     held = thin.join(F.broadcast(sample.where(calibrates)), "doc_id").select("y", found("text").alias("e")).toArrow()
     x = held["e"].combine_chunks().flatten().to_numpy().reshape(-1, SIZE)
-    return model, Curve(x, held["y"].to_numpy())
+    return sent, Curve(x, held["y"].to_numpy())
 
 
 def evidence_udf(sent):
     @arrow_udf("array<double>")
     def found(text: pa.Array) -> pa.Array:
-        rows = [evidence(part, sent.value) for part in common.chunks(text)]
+        rows = [evidence(part, sent.value.made()) for part in common.chunks(text)]
         flat = np.concatenate(rows) if rows else np.zeros((0, SIZE))
         return pa.ListArray.from_arrays(pa.array(np.arange(0, flat.size + 1, SIZE, dtype=np.int32)), pa.array(flat.ravel()))
 
@@ -276,13 +278,11 @@ def evidence_udf(sent):
 
 def scores(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELS) -> DataFrame:
     """doc_id, held_out, score, predicted."""
-    model, curve = fit(docs, labels, most)
-    sent = docs.sparkSession.sparkContext.broadcast((model, curve))
+    sent, curve = fit(docs, labels, most)
 
     @arrow_udf("double")
     def score(text: pa.Array) -> pa.Array:
-        model, curve = sent.value
-        rows = [np.zeros(len(part)) if model is None else curve.score(evidence(part, model)) for part in common.chunks(text)]
+        rows = [np.zeros(len(part)) if sent is None else curve.score(evidence(part, sent.value.made())) for part in common.chunks(text)]
         return pa.array(np.concatenate(rows) if rows else np.zeros(0))
 
     held = common.fold(F.col("doc_id"), FOLDS) == 0
