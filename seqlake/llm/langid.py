@@ -168,12 +168,11 @@ def samples(docs: DataFrame, most: int = SAMPLE_DOCS) -> dict[str, str]:
 
 def predictions(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, lang_pred, score."""
-    model = Recogniser(samples(docs))
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    sent = docs.sparkSession.sparkContext.broadcast(common.Recipe(Recogniser, samples(docs)))
 
     @arrow_udf("struct<lang: string, score: double>")
     def predict(text: pa.Array) -> pa.Array:
-        found = [sent.value.predict(part) for part in common.chunks(text, 1 << 20)]
+        found = [sent.value.made().predict(part) for part in common.chunks(text, 1 << 20)]
         langs = [x for part, _ in found for x in part]
         return pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(np.concatenate([s for _, s in found]) if found else np.zeros(0))], ["lang", "score"])
 
