@@ -35,7 +35,7 @@ from . import common
 SEQUENCE = 1024
 WINDOW = 64 * SEQUENCE
 END_ID = 0
-BUCKET_ROWS = 4096
+BUCKET_ROWS = 512
 NO_SOURCE = "\x00"
 _ENCODERS: dict = {}
 
