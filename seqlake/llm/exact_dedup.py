@@ -43,13 +43,13 @@ def cut(raw: bytes, head: int) -> list[bytes]:
 
 @common.on_arrow("struct<sha: binary, runs: array<binary>>")
 def _runs(text: pa.Array, head: pa.Array) -> pa.Array:
+    """The digest that is reported, and, where a head says how many bytes are settled, what follows it."""
     heads, sha, runs = head.to_pylist(), [], []
     for part in common.chunks(text):
         for raw in part:
-            raw = raw.lower()
-            at = heads[len(sha)]
+            raw, at = raw.lower(), heads[len(sha)]
             sha.append(hashlib.sha256(raw).digest())
-            runs.append(cut(raw, at))
+            runs.append(None if at is None else cut(raw, at))
     return pa.StructArray.from_arrays([pa.array(sha, pa.binary()), pa.array(runs, pa.list_(pa.binary()))], ["sha", "runs"])
 
 
@@ -57,23 +57,26 @@ def _head(text: Column) -> Column:
     return F.translate(F.substring(text, 1, HEAD), _UPPER, _LOWER)
 
 
+def _anew(key: str) -> Column:
+    return F.concat(F.col(key), F.lit(""))
+
+
 def classes(docs: DataFrame, carry: list[str] = ()) -> DataFrame:
     """One row for each document: doc_id, keep_id, group_size, kept, text_sha256, and the columns of ``carry``.
 
-    ``carry`` columns are returned under their names as fields of a struct ``row``.
+    ``carry`` columns, the text among them, are returned under their names as fields of a struct ``row``.
     """
-    text = F.coalesce(F.col("text"), F.lit(""))
-    row = F.struct(*(F.col(f"`{c}`") for c in carry)) if carry else F.lit(None).cast("int")
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), _head(text).alias("gid"), row.alias("row"))
-    shared = base.groupBy("gid").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    row = F.struct(*(F.col(f"`{c}`") for c in carry)) if carry else F.struct("text")
+    text = lambda c: F.coalesce(c, F.lit(""))
+    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _head(text(F.col("text"))).alias("gid"), row.alias("row"))
+    # The counts come with a key that Spark can't take for the one they were grouped by, so that the join deals both sides anew and may split a hot key.
+    shared = base.groupBy("gid").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(_anew("gid").alias("gid"), "n").hint("merge")
     opened = (
-        base.withColumn("x", _runs("text", F.octet_length("gid")))
-        .select("doc_id", "gid", "row", "x.sha", "x.runs")
-        .join(shared, "gid", "left")
+        base.join(shared, "gid", "left")
+        .withColumn("x", _runs(text(F.col("row.text")), F.when(F.col("n").isNotNull(), F.octet_length("gid"))))
         .select(
-            F.monotonically_increasing_id().alias("rid"), "doc_id", "row", "sha",
-            F.when(F.col("n").isNotNull(), F.col("gid")).alias("gid"),
-            F.when(F.col("n").isNotNull(), F.col("runs")).alias("runs"),
+            F.monotonically_increasing_id().alias("rid"), "doc_id", (F.col("row") if carry else F.lit(None).cast("int")).alias("row"), "x.sha",
+            F.when(F.col("n").isNotNull(), F.col("gid")).alias("gid"), "x.runs",
         )
     )
     state = common.stored(opened, "radix0")
@@ -86,6 +89,7 @@ def classes(docs: DataFrame, carry: list[str] = ()) -> DataFrame:
             keyed.groupBy("gid", "run", "ended")
             .agg(F.max(F.struct("doc_id", "rid")).alias("best"), F.min("rid").alias("first"), F.count(F.lit(1)).alias("n"))
             .where("n > 1")
+            .select(_anew("gid").alias("gid"), "run", "ended", "best", "first", "n")
         )
         joined = keyed.join(split, ["gid", "run", "ended"], "left").select(
             "rid", "doc_id", "row", "sha", "best", "n",
