@@ -222,23 +222,29 @@ def components(pairs: DataFrame) -> DataFrame:
         before = now
 
 
-def groups(docs: DataFrame, bits: int = BITS, carry: list[str] = ()) -> DataFrame:
-    """doc_id, fp, component_id, and the columns of ``carry`` as fields of a struct ``row``."""
-    row = F.struct(*(F.col(f"`{c}`") for c in carry)) if carry else F.lit(None).cast("int")
-    marked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), fingerprints("text").alias("fp"), row.alias("row"))
-    marked = common.stored(common.row_numbered(marked, "rid"), "fingerprints")
+def groups(docs: DataFrame, bits: int = BITS) -> DataFrame:
+    """doc_id, fp, component_id."""
+    marked = common.stored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), fingerprints("text").alias("fp")), "fingerprints")
     fps = common.stored(marked.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("rep")), "distinct")
     # A doc_id may stand on several rows with different texts: their fingerprints may then share a node.
     roots = components(links(fps, bits))
     named = fps.join(roots, fps["rep"] == roots["node"], "left").select("fp", F.coalesce("root", "rep").alias("component"))
-    out = marked.join(named, "fp", "left").select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component")).alias("component_id"), "rid", "row")
-    return out if carry else out.drop("row")
+    return marked.join(named, "fp", "left").select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component")).alias("component_id"))
 
 
 def keep_one(docs: DataFrame, bits: int = BITS) -> DataFrame:
-    """The documents with one of each group: all columns; the smallest doc_id stays, and rows without a doc_id."""
+    """The documents with one of each group: all columns; the smallest doc_id stays, and rows without a doc_id.
+
+    Only ids are joined and grouped; the documents themselves are dealt out once, to be rid of those that go.
+    Should the doc_id that stays be on several rows, the one whose text sorts first (null first) stays.
+    """
+    found = common.stored(groups(docs, bits).where("doc_id is not null"), "groups")
+    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct().hint("shuffle_hash")
+    kept = docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+    several = common.stored(found.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_several")), "several")
+    if not several.take(1):
+        return kept
     names = docs.columns
-    found = groups(docs, bits, names).where("doc_id is null or doc_id = component_id")
-    best = found.groupBy("doc_id").agg(F.min("rid").alias("best"))
-    found = found.join(best, "doc_id", "left").where("doc_id is null or rid = best")
-    return found.select(*(F.col("row").getField(c).alias(c) for c in names))
+    one = kept.join(several, kept["doc_id"] == several["_several"], "left_semi").groupBy("doc_id").agg(F.min_by(F.struct(*(F.col(f"`{c}`") for c in names)), F.struct("text")).alias("_row"))
+    alone = kept.join(several, kept["doc_id"] == several["_several"], "left_anti")
+    return alone.unionByName(one.select(*(F.col("_row").getField(c).alias(c) for c in names)))
