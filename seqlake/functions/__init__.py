@@ -1 +1 @@
-
+"""Scalar functions on bytes and numbers, plain and as columns."""

@@ -1 +1 @@
-
+"""Physical helpers: stored intermediate tables and range-partitioned ordered computations."""
