@@ -7,10 +7,7 @@ does not follow the number of rows Spark puts into a batch.
 
 from __future__ import annotations
 
-import atexit
 import functools
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,37 +16,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-CHUNK_BYTES = 4 << 20
-_ROOTS: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """A folder of this application below ``spark.checkpoint.dir``, removed when Python ends.
-
-    Only where that setting is absent (tests, local use) a temporary folder stands in.
-    """
-    app = spark.sparkContext.applicationId
-    if app not in _ROOTS:
-        base = spark.conf.get("spark.checkpoint.dir", None)
-        if not base:
-            base = "file://" + tempfile.mkdtemp(prefix="seqlake-")
-        _ROOTS[app] = f"{base.rstrip('/')}/seqlake-{app}-{uuid.uuid4().hex[:8]}"
-        atexit.register(_remove, spark, _ROOTS[app])
-    return _ROOTS[app]
+from ..plans.materialise import shared_dir, stored
 
-
-def _remove(spark: SparkSession, folder: str) -> None:
-    if spark.sparkContext._jsc is None:
-        return
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it again: cuts the lineage, survives lost executors."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex[:8]}"
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+CHUNK_BYTES = 4 << 20
 
 
 def binary(texts: pa.Array) -> pa.Array:
@@ -62,7 +31,7 @@ def binary(texts: pa.Array) -> pa.Array:
 def chunks(texts: pa.Array, most: int = CHUNK_BYTES) -> Iterator[list[bytes]]:
     """Runs of the rows, as lists of bytes (null: empty), of at most ``most`` bytes or one row."""
     raw = binary(texts)
-    sizes = np.asarray(raw.is_valid()).astype(np.int64) if len(raw) == 0 else _sizes(raw)
+    sizes = _sizes(raw)
     ends = np.cumsum(sizes)
     at = 0
     while at < len(raw):

@@ -113,8 +113,12 @@ def phrases(table: np.ndarray, grid: np.ndarray, live: np.ndarray) -> np.ndarray
         sign = grid[step, :n]
         to = flat[state[:n] * SIGNS + sign]
         stuck = to < 0
-        count[:n] += stuck
-        state[:n] = np.where(stuck, np.maximum(table[0, sign], 0), to)
+        if stuck.any():
+            # The open phrase ends; the sign begins the next one, or is one of its own if the language has none like it.
+            start = table[0, sign]
+            count[:n] += (stuck & (state[:n] > 0)).astype(np.int64) + (stuck & (start < 0))
+            to = np.where(stuck, np.maximum(start, 0), to)
+        state[:n] = to
     return count + (state > 0)
 
 

@@ -233,7 +233,7 @@ def report(docs: DataFrame) -> DataFrame:
             spans.append(text(own))
         return pa.StructArray.from_arrays([pa.array(base, pa.string()), pa.array(spans, pa.string())], ["base", "spans"])
 
-    count = [F.size(F.filter("found", lambda c, k=k: (c["kind"] == k) & (c["base"] == 1))).cast("long").alias(f"n_{name}") for k, name in enumerate(KINDS)]
+    count = [F.expr(f"cast(size(filter(found, c -> c.kind = {k} AND c.base = 1)) AS bigint)").alias(f"n_{name}") for k, name in enumerate(KINDS)]
     return found.select("doc_id", *count, written("found").alias("x")).select("doc_id", *(f"n_{k}" for k in KINDS), F.sha2(F.col("x.base").cast("binary"), 256).alias("base_sha256"), "x.spans")
 
 

@@ -124,7 +124,7 @@ class Model:
             self._spell(self.spelt[c], keys[seen], n[c][seen].astype(np.float32), shared)
         self.words, order = np.sort(words), np.argsort(words)
         tokens, types, once, twice = facts.T.astype(float)
-        discount = once / np.maximum(1, once + 2 * twice)
+        discount = np.where(once > 0, once / np.maximum(1, once + 2 * twice), 0.5)
         self.back = np.log(discount * types / tokens)
         self.seen = (np.maximum(word_n - discount[:, None], 0) / tokens[:, None])[:, order]
 

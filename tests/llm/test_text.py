@@ -1,0 +1,167 @@
+"""HTML, personal data and chat formatting."""
+
+import random
+import re
+
+import pyarrow as pa
+from seqlake.llm import chat, html_text, pii
+from seqlake.llm.common import table
+
+from . import messy
+
+PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{margin:0}</style><script>var t="</p><p>no</p>";</script></head><body>
+<header><h1>Site</h1></header><nav><ul><li><a href="/a">Home</a></li></ul></nav><div class="cookie-notice">We use cookies.</div>
+<div class="ad">Buy now &amp; save</div><article><h1>Heading  &amp; more</h1><p>First <b>bold</b>
+ paragraph with quite a lot of words in it.<br>Next line<p>Second &eacute;l&#233;ment, also long enough to be content.</p>
+<form><input name=q>Search <button>Go</button></form><aside>Side box</aside><div class="comments"><p>Reader says a long thing about this article here.</p></div>
+<ul><li>one item<li>two items</ul></article><div id="sidebar">Links</div><footer>&copy; all</footer></body></html>"""
+
+
+def test_page():
+    assert html_text.main_text(PAGE).split("\n") == [
+        "Heading & more", "First bold paragraph with quite a lot of words in it. Next line", "Second élément, also long enough to be content.", "one item", "two items",
+    ]
+
+
+def test_page_without_article():
+    body = "".join(f"<p>This is sentence number {i} of a long text without links in it.</p>" for i in range(8))
+    menu = "".join(f'<li><a href="/{i}">m{i}</a></li>' for i in range(9))
+    text = html_text.main_text(f"<html><body><div><ul>{menu}</ul></div><div>{body}</div><div><ul>{menu}</ul></div></body></html>")
+    assert text == "\n".join(f"This is sentence number {i} of a long text without links in it." for i in range(8))
+
+
+def test_broken_pages():
+    for page, want in ((None, ""), ("", ""), ("plain text", "plain text"), ("<p>a<p>b", "a\nb"), ("<b>x", "x"), ("</div>y</p>", "y"), ("<nav>menu", ""), ("a &am", "a &am"), ("<!-- c -->", ""), ("<script>x", ""), ("<p>  </p>", "")):
+        assert html_text.main_text(page) == want
+    deep = "<div>" * 3000 + "<p>word word</p>"
+    assert html_text.main_text(deep) == "word word"
+    assert html_text.main_text("<p>" + "long " * 100_000 + "</p>") == ("long " * 100_000).strip()
+
+
+def test_pages_table(spark):
+    rows = [(1, "u", PAGE), (None, None, None), (2, "u", ""), (1, "u", PAGE)]
+    pages = spark.createDataFrame([(*r, 9) for r in rows], "page_id long, url string, html string, text int")
+    out = html_text.extract(pages).collect()
+    assert sorted((str(r["page_id"]), r["n_chars"]) for r in out) == sorted((str(i), len(html_text.main_text(h))) for i, _, h in rows)
+    assert html_text.extract(pages.where("false")).count() == 0
+
+
+BASE = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+
+
+def brute(text):
+    out = []
+    for kind, pattern in BASE.items():
+        for m in re.finditer(pattern, text or ""):
+            digits = re.sub("[^0-9]", "", m[0])
+            if kind == "ip" and max(map(int, m[0].split("."))) > 255:
+                continue
+            if kind == "card" and not (16 <= len(digits) <= 19 and pii.luhn(digits)):
+                continue
+            if kind == "phone" and not 8 <= len(digits) <= 15:
+                continue
+            out.append((kind, m.start(), m.end()))
+    return out
+
+
+def test_base_spans():
+    rng = random.Random(1)
+    for _ in range(30_000):
+        text = "".join(rng.choice("a1+@.-( 0255é)") for _ in range(rng.randint(0, 40)))
+        assert pii.base_spans(text) == brute(text), text
+    for text in ("4111 1111 1111 1111", "x4111-1111-1111-1111-", "1.2.3.4.5.6.7.8", "+1 (555) 123-4567 ", "999.1.1.1", "000255.0.0.1", "a@b.c@d.e", "a@b@c.d"):
+        assert pii.base_spans(text) == brute(text), text
+
+
+def test_hard_texts_take_linear_time():
+    for text in ("1" * 300_000, "a" * 300_000 + "@", "@" * 100_000, "1.1" * 50_000, "+1" * 50_000, "1 " * 100_000):
+        pii.candidates(text)
+
+
+def test_method_adds_spans(spark):
+    rows = [(i, f"please call me on (415) 555-{1000 + i} or mail jane.doe{i} at example dot com, phone +1 415 555 {2000 + i}", "en", "a") for i in range(60)]
+    rows += [(100 + i, f"part no 41{i}-555-10{i}7x and look at this dot or that", "en", "a") for i in range(10)]
+    out = {r["doc_id"]: r for r in pii.report(messy.documents(spark, rows)).collect()}
+    assert all(out[i]["spans"].count("phone:") == 2 and out[i]["n_phone"] == 1 and "email:" in out[i]["spans"] and out[i]["n_email"] == 0 for i in range(60))
+    assert all(out[100 + i]["spans"] == "" for i in range(10))
+
+
+def check_base(docs):
+    out = pii.report(docs).collect()
+    counts = lambda spans: tuple(sum(k == kind for k, *_ in spans) for kind in pii.KINDS)
+    want = sorted((str(r["doc_id"]), counts(brute(r["text"])), pii.digest(brute(r["text"]))) for r in docs.collect())
+    assert sorted((str(r["doc_id"]), tuple(r[f"n_{k}"] for k in pii.KINDS), r["base_sha256"]) for r in out) == want
+    return out
+
+
+def test_documents(spark, small):
+    assert sum(r["n_email"] + r["n_ip"] + r["n_card"] + r["n_phone"] for r in check_base(table(spark, small, "documents"))) > 0
+
+
+def test_messy_documents(spark):
+    docs = messy.documents(spark)
+    out = check_base(docs)
+    assert all(not r["spans"] or r["n_email"] + r["n_ip"] + r["n_card"] + r["n_phone"] <= r["spans"].count(",") + 1 for r in out)
+    assert pii.report(messy.nothing(spark)).count() == 0
+
+
+def test_expectation_maximisation_finds_the_better_labeller():
+    rng = random.Random(2)
+    import numpy as np
+
+    counts = np.zeros(27)
+    for _ in range(20_000):
+        real = rng.random() < 0.6
+        v = [1 if rng.random() < (0.95 if real else 0.05) else -1, 1 if rng.random() < (0.6 if real else 0.5) else -1, 1 if rng.random() < (0.9 if real else 0.2) else 0]
+        counts[sum((x + 1) * 3**i for i, x in enumerate(v))] += 1
+    real = pii.posteriors(counts)
+    number = lambda *v: sum((x + 1) * 3**i for i, x in enumerate(v))
+    assert real[number(1, -1, 1)] > 0.95 and real[number(-1, 1, 0)] < 0.05
+
+
+def rendered(turns):
+    return "".join(f"<|{r}|>\n{t}\n<|end|>\n" for r, t in turns)
+
+
+def test_chat(spark):
+    rows = []
+    talk = {
+        0: [("user", "hi"), ("assistant", "yes"), ("user", "more"), ("assistant", "ok")], 1: [("user", "hi"), ("assistant", "no")],
+        2: [("user", "same")], 3: [("user", "same")], 4: [("user", "lone"), ("assistant", "é😀")], 7: [(None, None)],
+        8: [("user", "a"), ("assistant", "b")], 9: [("user", "a"), ("assistant", "b"), ("user", "c")],
+    }
+    for conv, turns in talk.items():
+        rows += [(conv, i, r, t, "x") for i, (r, t) in enumerate(turns)]
+    rows += [(None, 0, "user", "nobody's", "x"), (10, None, "user", "first", "x"), (10, 1, "user", "dup", "x"), (10, 1, "user", "dup", "x")]
+    talk[10] = [("user", "first"), ("user", "dup"), ("user", "dup")]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, at string").repartition(3)
+    out = {r["pair_id"]: r for r in chat.preference(chat.neighbours(turns)).collect()}
+    assert sorted(out) == [0, 1, 2, 3, 4, 5]
+    for pair, r in out.items():
+        sides = [[(a or "", b or "") for a, b in talk[c]] if (c := 2 * pair + s) in talk else None for s in (0, 1)]
+        k = 0
+        if None not in sides:
+            while k < min(map(len, sides)) and sides[0][k] == sides[1][k]:
+                k += 1
+        assert r["prompt_turns"] == k and r["prompt"] == rendered((sides[0] or sides[1])[:k])
+        for name, side in zip(("chosen", "rejected"), sides):
+            if side is None:
+                assert r[name] is None and r[f"{name}_mask"] is None
+                continue
+            assert r[name] == rendered(side[k:])
+            spans = [tuple(map(int, s.split(":"))) for s in r[f"{name}_mask"].split(",") if s]
+            assert [r[name][a:b] for a, b in spans] == [t for role, t in side[k:] if role == "assistant"]
+    assert chat.preference(chat.neighbours(turns.where("false"))).count() == 0
+
+
+def test_chunks_are_bounded():
+    from seqlake.llm import common
+
+    texts = pa.array(["a" * 10, None, "", "b" * 25, "c" * 5, "d" * 5])
+    parts = list(common.chunks(texts, 20))
+    assert [x for p in parts for x in p] == [b"a" * 10, b"", b"", b"b" * 25, b"c" * 5, b"d" * 5]
+    assert all(sum(map(len, p)) <= 20 or len(p) == 1 for p in parts)
+    assert list(common.chunks(pa.array([], pa.string()))) == []
