@@ -116,6 +116,14 @@ def test_counts_of_grams():
     assert every == {sign("^^^a"): 3, sign("^^ab"): 3, sign("^ab^"): 3}
 
 
+def test_label_sample_is_bounded(spark):
+    rows = [(i, 1, int(i % 4 == 0), None) for i in range(4000)]
+    for most, want in ((100, {0: 100, 1: 100}), (1000, {0: 1000, 1: sum(i % 4 == 0 and remainder(i, 5) != 0 for i in range(4000))})):
+        out = toxicity.labelled_sample(messy.labels(spark, rows), most).collect()
+        assert {y: sum(r["y"] == y for r in out) for y in (0, 1)} == want
+        assert all(remainder(r["doc_id"], 5) != 0 and r["y"] == int(r["doc_id"] % 4 == 0) for r in out)
+
+
 def test_distributions_sum_to_one():
     rng = np.random.default_rng(4)
     texts = [prose(rng, 200) for _ in range(20)]
