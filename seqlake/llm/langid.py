@@ -9,9 +9,11 @@ a few vector operations a letter and language. A lane's end cuts a phrase for ev
 language alike.
 
 Each language learns from a sample of about ``SAMPLE_DOCS`` documents, drawn by the
-hash of their ids from the learning folds, of which the automaton reads ``LETTERS``
-letters: the bound on what is gathered and broadcast. A language with fewer
-documents gives them all. Letters are lower-cased and folded to an alphabet of the
+hash of their ids from the learning folds, of which the automaton reads ``EACH``
+letters each and ``LETTERS`` in all: the bound on what is gathered and broadcast.
+Many short pieces stand for a language better than a few long ones, in which a
+passage in another language would weigh much. A language with fewer documents
+gives them all. Letters are lower-cased and folded to an alphabet of the
 ``SIGNS`` - 2 most frequent of the sample and one for all others; whatever is no
 letter is a space.
 
@@ -32,6 +34,7 @@ from . import common
 
 FOLDS, HELD = 3, 1
 SAMPLE_DOCS = 200
+EACH = 300
 LETTERS = 60_000
 SIGNS = 64
 LANE = 1024
@@ -161,12 +164,11 @@ def samples(docs: DataFrame, most: int = SAMPLE_DOCS) -> dict[str, str]:
         return {}
     share = F.create_map(*(x for r in counts for x in (F.lit(r["lang"]), F.lit(most / r["n"]))))
     draw = F.pmod(F.xxhash64(F.col("doc_id")), F.lit(1 << 30)) / float(1 << 30)
-    rows = learn.where(draw < share[F.col("lang")]).select("lang", draw.alias("draw"), F.substring("text", 1, LETTERS).alias("text")).collect()
+    rows = learn.where(draw < share[F.col("lang")]).select("lang", draw.alias("draw"), F.substring("text", 1, 4 * EACH).alias("text")).collect()
     out: dict[str, str] = {r["lang"]: "" for r in counts}
     for r in sorted(rows, key=lambda r: (r["draw"], r["text"] or "")):
         if len(out[r["lang"]]) < LETTERS:
-            # No document gives more than a tenth, so that one long text does not stand for its language.
-            out[r["lang"]] += letters((r["text"] or "")[: LETTERS // 10]) + " "
+            out[r["lang"]] += letters(r["text"] or "")[:EACH] + " "
     return {k: v[:LETTERS] for k, v in out.items() if v.strip()}
 
 
