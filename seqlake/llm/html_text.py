@@ -59,10 +59,12 @@ def _beside(attributes: list[tuple[str, str | None]], inside: bool) -> bool:
 class Lines(HTMLParser):
     """The page as lines: text, tags, the containers around it, and whether it lies in an article."""
 
-    def __init__(self):
+    def __init__(self, trusting: bool = False):
         super().__init__(convert_charrefs=True)
+        self.trusting = trusting
         self.stack: list[str] = []
         self.skipping: int | None = None
+        self.by_name = self.missed = False
         self.boxes: list[tuple[int, int]] = []
         self.parents: list[int] = []
         self.article: list[bool] = []
@@ -87,10 +89,13 @@ class Lines(HTMLParser):
         if tag in VOID:
             return
         self.stack.append(tag)
-        if self.skipping is None:
+        if self.skipping is not None:
+            self.missed |= tag in ("article", "main") and not self.by_name and not _beside(attrs, False)
+        else:
             box = self.boxes[-1][1] if self.boxes else -1
             inside = box >= 0 and self.article[box]
-            if tag in NEVER or (tag == "header" and not inside) or (attrs and tag not in ("html", "body") and _beside(attrs, inside)):
+            self.by_name = tag in NEVER or (tag == "header" and not inside)
+            if self.by_name or (attrs and tag not in ("html", "body") and (inside or not self.trusting) and _beside(attrs, inside)):
                 self.flush()
                 self.skipping = len(self.stack)
             elif tag in CONTAINER:
@@ -150,14 +155,24 @@ def threshold(values: np.ndarray) -> float:
     return min(cut, float(values.max()))
 
 
-def main_text(html: str | None) -> str:
-    if not html:
-        return ""
-    page = Lines()
+def _read(html: str, trusting: bool) -> Lines:
+    """trusting: outside an article, classes and roles do not leave anything out."""
+    page = Lines(trusting)
     page.feed(html)
     page.close()
     page.flush()
-    lines = [x for x in page.lines if x[2] >= 0 and page.article[x[2]]] or page.lines
+    return page
+
+
+def main_text(html: str | None) -> str:
+    if not html:
+        return ""
+    page = _read(html, False)
+    lines = [x for x in page.lines if x[2] >= 0 and page.article[x[2]]]
+    if not lines and page.missed:  # a wrapper named after the sidebar beside it holds the article
+        page = _read(html, True)
+        lines = [x for x in page.lines if x[2] >= 0 and page.article[x[2]]]
+    lines = lines or page.lines
     if len(lines) < 2:
         return lines[0][0] if lines else ""
     size = np.array([len(t) for t, _, _ in lines], float)

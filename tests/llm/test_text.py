@@ -30,6 +30,12 @@ def test_page_without_article():
     assert text == "\n".join(f"This is sentence number {i} of a long text without links in it." for i in range(8))
 
 
+def test_article_in_a_misnamed_wrapper():
+    inner = "<article><h1>H</h1><p>The text of it.</p><div class='share'>Share</div></article>"
+    assert html_text.main_text(f"<body><div class='with-sidebar'><nav>x</nav>{inner}<div id=sidebar>side</div></div></body>") == "H\nThe text of it."
+    assert html_text.main_text("<body><div class='comments'><article class='comment'>c</article></div><div class=ad>ad</div></body>") == ""
+
+
 def test_broken_pages():
     for page, want in ((None, ""), ("", ""), ("plain text", "plain text"), ("<p>a<p>b", "a\nb"), ("<b>x", "x"), ("</div>y</p>", "y"), ("<nav>menu", ""), ("a &am", "a &am"), ("<!-- c -->", ""), ("<script>x", ""), ("<p>  </p>", "")):
         assert html_text.main_text(page) == want
