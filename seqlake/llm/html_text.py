@@ -10,13 +10,16 @@ marked text, without inner containers in which no line is marked; where a page h
 an ``article`` or ``main``, only lines inside it are looked at.
 
 Defined cases: a null or empty page gives the empty text; broken markup is read as
-far as the parser goes, unclosed elements ending with what encloses them; ties
-between containers go to the inner one; repeated rows give the same text; other
+far as the parser goes, unclosed elements ending with what encloses them, and a tag
+that the page's end cuts off is no text; the time for a page follows its length however
+deep it is nested; ties between containers go to the inner one; repeated rows give the same text; other
 columns are ignored.
 """
 
 from __future__ import annotations
 
+import re
+from collections import Counter
 from html.parser import HTMLParser
 
 import numpy as np
@@ -41,6 +44,7 @@ BESIDE = frozenset(
 )
 #: Elements that a new one of the same kind ends.
 CLOSES_ITSELF = frozenset("p li dt dd tr td th option".split())
+_MARKUP = re.compile("<[A-Za-z/!?]")
 
 
 def _beside(attributes: list[tuple[str, str | None]], inside: bool) -> bool:
@@ -63,6 +67,7 @@ class Lines(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.trusting = trusting
         self.stack: list[str] = []
+        self.within: Counter[str] = Counter()
         self.skipping: int | None = None
         self.by_name = self.missed = False
         self.boxes: list[tuple[int, int]] = []
@@ -89,6 +94,7 @@ class Lines(HTMLParser):
         if tag in VOID:
             return
         self.stack.append(tag)
+        self.within[tag] += 1
         if self.skipping is not None:
             self.missed |= tag in ("article", "main") and not self.by_name and not _beside(attrs, False)
         else:
@@ -112,10 +118,11 @@ class Lines(HTMLParser):
         self.tags += counted
         if tag in BLOCK and self.skipping is None:
             self.flush()
-        if tag not in self.stack:
+        if not self.within[tag]:
             return
         while self.stack:
             last = self.stack.pop()
+            self.within[last] -= 1
             if self.skipping is not None and len(self.stack) < self.skipping:
                 self.skipping = None
                 self.words.clear()
@@ -158,7 +165,9 @@ def threshold(values: np.ndarray) -> float:
 def _read(html: str, trusting: bool) -> Lines:
     """trusting: outside an article, classes and roles do not leave anything out."""
     page = Lines(trusting)
-    page.feed(html)
+    # After the last > no tag can end: the parser would look for one from every <.
+    cut = _MARKUP.search(html, html.rfind(">") + 1)
+    page.feed(html[: cut.start()] if cut else html)
     page.close()
     page.flush()
     return page
@@ -178,24 +187,22 @@ def main_text(html: str | None) -> str:
     size = np.array([len(t) for t, _, _ in lines], float)
     score = smoothed(size / np.maximum(1, [n for _, n, _ in lines]))
     content = score >= threshold(score)
-    mass: dict[int, float] = {}
-    marked: set[int] = set()
-    for (_, _, box), n, is_content in zip(lines, size, content, strict=True):
-        while is_content and box >= 0:
-            mass[box] = mass.get(box, 0.0) + n
-            marked.add(box)
-            box = page.parents[box]
+    # A box comes after the one around it: sums go up in reverse order, leave to be kept goes down in order.
+    mass, marked = [0.0] * len(page.parents), [False] * len(page.parents)
+    for (_, _, box), n, is_content in zip(lines, size.tolist(), content.tolist(), strict=True):
+        if is_content and box >= 0:
+            mass[box] += n
+            marked[box] = True
+    for box in range(len(mass) - 1, -1, -1):
+        if marked[box] and (above := page.parents[box]) >= 0:
+            mass[above] += mass[box]
+            marked[above] = True
     total = float(size[content].sum())
-    region = max((b for b, m in mass.items() if m >= MASS * total), default=-1)
-    out = []
-    for text, _, box in lines:
-        around, at = [], box
-        while at >= 0 and at != region:
-            around.append(at)
-            at = page.parents[at]
-        if at == region and all(b in marked for b in around):
-            out.append(text)
-    return "\n".join(out)
+    region = max((b for b, m in enumerate(mass) if marked[b] and m >= MASS * total), default=-1)
+    kept = [False] * len(mass)
+    for box, above in enumerate(page.parents):
+        kept[box] = box == region or (marked[box] and (kept[above] if above >= 0 else region < 0))
+    return "\n".join(text for text, _, box in lines if (kept[box] if box >= 0 else region < 0))
 
 
 @common.on_arrow("string")

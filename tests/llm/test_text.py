@@ -1,8 +1,11 @@
 """HTML, personal data and chat formatting."""
 
+import itertools
 import random
 import re
+import time
 
+import numpy as np
 import pyarrow as pa
 from seqlake.llm import chat, html_text, pii
 from seqlake.llm.common import table
@@ -44,6 +47,60 @@ def test_broken_pages():
     assert html_text.main_text("<p>" + "long " * 100_000 + "</p>") == ("long " * 100_000).strip()
 
 
+def test_hard_pages_take_linear_time():
+    n = 20_000
+    for page in ("<div>x " * n, "<span>y</b>" * n, "<a <a " * n, "<!-- " * n, '<a href="' * n, "<p><font>z</p>" * n, "&" * n, "<![CDATA[" * n):
+        began = time.perf_counter()
+        html_text.main_text(page)
+        assert time.perf_counter() - began < 5, page[:10]
+
+
+def test_a_cut_tag_is_no_text():
+    assert html_text.main_text("<p>one two</p><p>three < four</p><div cla") == "one two\nthree < four"
+    assert html_text.main_text("<p>a</p>1 < 2 & <3") == "a\n1 < 2 & <3"
+
+
+def test_nested_boxes_are_kept_as_by_walking_up():
+    """Box sums against a walk from each line to the root."""
+    rng = random.Random(4)
+    for _ in range(200):
+        page, opened = [], 0
+        for _ in range(rng.randint(1, 30)):
+            if rng.random() < 0.4:
+                page.append("<div>")
+                opened += 1
+            elif opened and rng.random() < 0.4:
+                page.append("</div>")
+                opened -= 1
+            else:
+                page.append(f"<p>{'word ' * rng.choice([1, 2, 40])}{'<i>x</i>' * rng.choice([0, 0, 9])}</p>")
+        html = "<body>" + "".join(page)
+        assert html_text.main_text(html) == walked(html)
+
+
+def walked(html):
+    page = html_text._read(html, False)
+    lines = page.lines
+    if len(lines) < 2:
+        return lines[0][0] if lines else ""
+
+    def up(box):
+        while box >= 0:
+            yield box
+            box = page.parents[box]
+
+    score = html_text.smoothed(np.array([len(t) / max(1, n) for t, n, _ in lines]))
+    content = score >= html_text.threshold(score)
+    mass = {}
+    for (t, _, box), good in zip(lines, content, strict=True):
+        for b in up(box) if good else ():
+            mass[b] = mass.get(b, 0) + len(t)
+    total = sum(len(t) for (t, _, _), good in zip(lines, content, strict=True) if good)
+    region = max((b for b, m in mass.items() if m >= html_text.MASS * total), default=-1)
+    inner = lambda box: list(itertools.takewhile(lambda b: b != region, up(box)))
+    return "\n".join(t for t, _, box in lines if (region < 0 or region in up(box)) and all(b in mass for b in inner(box)))
+
+
 def test_pages_table(spark):
     rows = [(1, "u", PAGE), (None, None, None), (2, "u", ""), (1, "u", PAGE)]
     pages = spark.createDataFrame([(*r, 9) for r in rows], "page_id long, url string, html string, text int")
