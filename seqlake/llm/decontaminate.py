@@ -9,17 +9,22 @@ shift zero go to the bucket of their suffix and prefix hash, whose few patterns
 are compared directly. The search advances thousands of lanes of the buffer in
 step, so that each table access is one vector operation.
 
-The benchmark is a stated query set of checked size (``MOST_BYTES``); only it is
-sent to the executors. Documents are read once and never shuffled.
+The benchmark is a stated query set; only it is sent to the executors. Up to
+``MOST_BYTES`` it goes as one search, whose tables take about 160 times its bytes in
+a worker, and documents are read once and never shuffled. A larger one is dealt into
+parts of at most that size by the hash of its items. Documents are then searched for
+one part at a time, and only the places of hits are brought together.
 
 Defined cases: null or wordless texts have no words, no hits and no items, and are
 not contaminated; a wordless item gives no window; items that repeat count once by
-item_id, a null item_id under the empty string; an empty benchmark hits nothing.
+item_id, a null item_id under the empty string; an empty benchmark hits nothing; a
+single item larger than a part is a part of its own.
 """
 
 from __future__ import annotations
 
 import hashlib
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +36,7 @@ from . import common
 
 WINDOW = 13
 SHARE = 20
-MOST_BYTES = 64 << 20
+MOST_BYTES = 4 << 20
 LANE = 2048
 END = 0xFF
 #: A byte of a word stands for itself (A-Z lower-cased), any other becomes a space; 0xFF, never in UTF-8, ends a document.
@@ -123,6 +128,10 @@ class Searcher:
 
     def scan(self, texts: list[bytes]) -> list[tuple[int, int, set[str]]]:
         """(words, hit words, items) of each text."""
+        return [(n, sum(b - a for a, b in runs), items) for n, runs, items in self.places(texts)]
+
+    def places(self, texts: list[bytes]) -> list[tuple[int, list[tuple[int, int]], set[str]]]:
+        """(words, runs of hit words, items) of each text."""
         raw = np.frombuffer((b" " + b" \xff ".join(texts) + b" \xff ").translate(_FOLD), np.uint8)
         space = raw == 32
         space[1:] &= space[:-1]
@@ -144,53 +153,97 @@ class Searcher:
             docs = np.searchsorted(bounds, word, "right") - 1
             for d, i in set(zip(docs.tolist(), which.tolist(), strict=True)):
                 items[d].update(self.items[i])
-        total = np.r_[0, np.cumsum(np.cumsum(covered[:-1]) > 0)]
-        return list(zip(np.diff(bounds).tolist(), np.diff(total[bounds]).tolist(), items, strict=True))
-
-
-def scanner(benchmark: DataFrame, size: int = WINDOW, most_bytes: int = MOST_BYTES):
-    """A function of a text column to struct<n_words, n_hit, items: array<string>>."""
-    spark = benchmark.sparkSession
-    total = benchmark.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    if total > most_bytes:
-        raise ValueError(f"the benchmark has {total} bytes; at most {most_bytes} are sent to executors, search larger ones in parts")
-    rows = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")), "text").collect()
-    sent = spark.sparkContext.broadcast([tuple(r) for r in rows])
+        hit = np.cumsum(covered[:-1]) > 0
+        edge = np.zeros(len(hit) + 1, bool)
+        edge[bounds] = True  # words of two documents are never one run
+        before, after = np.r_[False, hit[:-1]], np.r_[hit[1:], False]
+        first, last = np.flatnonzero(hit & (~before | edge[:-1])), np.flatnonzero(hit & (~after | edge[1:])) + 1
+        runs: list[list[tuple[int, int]]] = [[] for _ in texts]
+        doc = np.searchsorted(bounds, first, "right") - 1
+        for d, x, y in zip(doc.tolist(), (first - bounds[doc]).tolist(), (last - bounds[doc]).tolist(), strict=True):
+            runs[d].append((x, y))
+        return list(zip(np.diff(bounds).tolist(), runs, items, strict=True))
+
+
+def parts(benchmark: DataFrame, most_bytes: int = MOST_BYTES) -> list[DataFrame]:
+    """The benchmark (item, text) in parts of at most ``most_bytes``, single items apart."""
+    items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), "text")
+    size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
+    total, largest = items.agg(F.coalesce(F.sum(size), F.lit(0)), F.coalesce(F.max(size), F.lit(0))).first()
+    n = 1
+    while total > most_bytes:
+        n = max(2 * n, -(-total // most_bytes))
+        place = F.pmod(F.xxhash64("text"), F.lit(n))  # equal texts lie together
+        sizes = items.groupBy(place.alias("i")).agg(F.sum(size).alias("bytes"), F.max(size).alias("one")).orderBy("i").collect()
+        if all(r["bytes"] <= max(most_bytes, r["one"]) for r in sizes):
+            return [items.where(place == r["i"]) for r in sizes]
+        if n > 64 * -(-total // most_bytes):  # one text under very many ids: its ids are sent, its windows are built once
+            return [items.where(place == r["i"]) for r in sizes]
+    return [items]
+
+
+def scanner(part: DataFrame, size: int = WINDOW):
+    """A function of a text column to struct<n_words, n_hit, runs, items>, for one part of a benchmark."""
+    sent = part.sparkSession.sparkContext.broadcast([tuple(r) for r in part.collect()])
     ready: dict = {}
 
-    @arrow_udf("struct<n_words: long, n_hit: long, items: array<string>>")
+    @arrow_udf("struct<n_words: long, n_hit: long, runs: array<struct<begin: long, end: long>>, items: array<string>>")
     def scan(text: pa.Array) -> pa.Array:
         if "it" not in ready:
             ready["it"] = Searcher(sent.value, size)
-        rows = [r for part in common.chunks(text) for r in ready["it"].scan(part)]
-        return pa.StructArray.from_arrays(
-            [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([sorted(r[2]) for r in rows], pa.list_(pa.string()))],
-            ["n_words", "n_hit", "items"],
-        )
+        rows = [r for part in common.chunks(text) for r in ready["it"].places(part)]
+        columns = [
+            pa.array([r[0] for r in rows], pa.int64()),
+            pa.array([sum(b - a for a, b in r[1]) for r in rows], pa.int64()),
+            pa.array([[{"begin": a, "end": b} for a, b in r[1]] for r in rows], pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))),
+            pa.array([sorted(r[2]) for r in rows], pa.list_(pa.string())),
+        ]
+        return pa.StructArray.from_arrays(columns, ["n_words", "n_hit", "runs", "items"])
 
     return scan
 
 
+#: Words in any of the sorted runs of all parts.
+_UNION = """aggregate(array_sort(flatten(collect_list(x.runs))), named_struct('n', 0L, 'to', 0L),
+  (a, r) -> named_struct('n', a.n + greatest(0L, r.end - greatest(r.begin, a.to)), 'to', greatest(a.to, r.end)), a -> a.n)"""
+
+
+def _found_in_parts(texts: DataFrame, given: list[DataFrame]) -> DataFrame:
+    """texts: rid, text (stored). rid, x: what all parts find together; a group has one row for each part."""
+    found = reduce(DataFrame.unionByName, [common.stored(texts.select("rid", scanner(p)(F.col("text")).alias("x")), "part") for p in given])
+    together = found.groupBy("rid").agg(F.max("x.n_words").alias("n_words"), F.expr(_UNION).alias("n_hit"), F.array_distinct(F.flatten(F.collect_list("x.items"))).alias("items"))
+    return together.select("rid", F.struct("n_words", "n_hit", "items").alias("x"))
+
+
 def contaminated(found: Column, share: int = SHARE) -> Column:
     """Any hit, and at least one word in ``share`` hit."""
     hit, words = found.getField("n_hit"), found.getField("n_words")
     return (hit > 0) & (hit * share >= words)
 
 
-def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def report(docs: DataFrame, benchmark: DataFrame, most_bytes: int = MOST_BYTES) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated, items."""
-    scan = scanner(benchmark)
-    x = F.col("x")
-    return docs.select(F.col("doc_id").alias("doc_id"), scan(F.col("text")).alias("x")).select(
+    given, x = parts(benchmark, most_bytes), F.col("x")
+    if len(given) == 1:
+        found = docs.select(F.col("doc_id").alias("doc_id"), scanner(given[0])(F.col("text")).alias("x"))
+    else:
+        texts = common.stored(common.row_numbered(docs.select(F.col("doc_id").alias("doc_id"), "text"), "rid"), "texts")
+        found = texts.select("rid", "doc_id").join(_found_in_parts(texts, given), "rid")
+    return found.select(
         "doc_id", "x.n_words", "x.n_hit", F.size("x.items").cast("long").alias("n_items"),
         F.sha2(F.concat_ws(",", F.array_sort("x.items")).cast("binary"), 256).alias("items_sha256"),
         contaminated(x).alias("contaminated"), "x.items",
     )
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, most_bytes: int = MOST_BYTES) -> DataFrame:
     """The documents that are not contaminated, all columns."""
-    return docs.where(~contaminated(scanner(benchmark)(F.col("text"))))
+    given, names = parts(benchmark, most_bytes), docs.columns
+    if len(given) == 1:
+        return docs.where(~contaminated(scanner(given[0])(F.col("text"))))
+    rows = common.stored(common.row_numbered(docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("row")), "rid"), "rows")
+    gone = _found_in_parts(rows.select("rid", "row.text"), given).where(contaminated(F.col("x"))).select("rid")
+    return rows.join(gone, "rid", "left_anti").select(*(F.col("row").getField(c).alias(c) for c in names))
 
 
 def sha_of(items: list[str]) -> str:

@@ -73,6 +73,25 @@ def test_messy(spark):
     assert decontaminate.report(messy.nothing(spark), bench).count() == 0
 
 
+def test_large_benchmarks_are_searched_in_parts(spark):
+    """The same results as in one search, also where windows of several parts meet in a document."""
+    rng = random.Random(5)
+    vocabulary = [f"w{i}" for i in range(400)]
+    passage = [rng.choice(vocabulary) for _ in range(200)]
+    items = [(i, " ".join(passage[6 * i : 6 * i + 20])) for i in range(30)] + [(40, "short one"), (41, None), (42, "short one"), (None, passage[0])]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    texts = [" ".join(passage), " ".join(passage[50:90] + ["x"] * 60), "nothing of it", None, "a short one here", " ".join(rng.choice(vocabulary) for _ in range(300))]
+    docs = messy.documents(spark, [(i % 5, t, None, None) for i, t in enumerate(texts)])
+    assert len(decontaminate.parts(bench)) == 1
+    given = decontaminate.parts(bench, 600)
+    assert len(given) > 3 and sum(p.count() for p in given) == len(items)
+    assert all(sum(len(r["text"] or "") for r in p.collect()) <= 600 for p in given)
+    rows = lambda df: sorted(str((*r[:-1], sorted(r["items"]))) for r in df.collect())
+    assert rows(decontaminate.report(docs, bench, 600)) == rows(decontaminate.report(docs, bench))
+    kept = decontaminate.drop_contaminated(docs, bench, 600)
+    assert kept.columns == docs.columns and sorted(map(str, kept.collect())) == sorted(map(str, decontaminate.drop_contaminated(docs, bench).collect()))
+
+
 def test_sql(spark, small):
     import duckdb
 
