@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions import columns
+from .functions import columns, encoding
 from .operators import batches, compaction, cursor, visibility
 from .plans import materialise
 from .sources import manifest
@@ -281,6 +281,9 @@ _EDITS = "e AS (SELECT event_id + 1 AS edit_id, event_type <> 'error' AS adds, C
 _LIVE = "l AS (SELECT level, number FROM e GROUP BY level, number HAVING arg_max(adds, edit_id))"
 _RULE_A = f"c AS (SELECT *, lag(seq) OVER (PARTITION BY k ORDER BY seq DESC) AS newer FROM log) SELECT k, seq, op, v FROM c WHERE NOT (newer IS NOT NULL AND newer <= {SNAPSHOT})"
 
+_U32, _ZEROS = "4294967295::UBIGINT", "[0::UBIGINT, 0, 0, 0, 0, 0, 0, 0]"
+_TURN = f"((s + w) % 4294967296 * {encoding.HASH_FACTOR}::UBIGINT % 4294967296)"
+
 SQL = {
     "get_latest": f"{_NOW} SELECT k, v FROM live WHERE k = 'user-000012'",
     "multi_get": f"{_NOW}, {_WANT} SELECT w.k, CASE WHEN l.k IS NULL THEN 'NOT_FOUND' ELSE 'FOUND' END AS status, l.v FROM want w LEFT JOIN live l ON w.k = l.k",
@@ -323,6 +326,17 @@ SELECT CAST(file_no AS BIGINT) AS number, smallest, largest FROM g""",
     "internal_keys": f"""WITH {_LOG}, x AS (SELECT seq, k, lpad(lower(hex(seq * 256 + op)), 16, '0') AS h FROM log)
 SELECT seq, concat(lower(hex(k)), h[15:16], h[13:14], h[11:12], h[9:10], h[7:8], h[5:6], h[3:4], h[1:2]) AS ikey FROM x""",
     "varint_lengths": "SELECT o_orderkey, CAST(greatest(1, ceil(length(bin(o_orderkey)) / 7.0)) AS INT) AS n FROM orders",
+    "varints": """WITH n AS (SELECT o_orderkey, CAST(greatest(1, ceil(length(bin(o_orderkey)) / 7.0)) AS INT) AS n FROM orders)
+SELECT o_orderkey, o_orderkey AS back, list_aggregate(list_transform(range(0, n),
+  lambda i: printf('%02x', (o_orderkey >> CAST(7 * i AS BIGINT)) & 127 | CASE WHEN i < n - 1 THEN 128 ELSE 0 END)), 'string_agg', '') AS bytes FROM n""",
+    "checksums": f"""WITH {_LOG}, b AS (SELECT seq, list_transform(range(1, length(k) + 1), lambda i: CAST(ascii(k[i]) AS UBIGINT)) AS b FROM log),
+c AS (SELECT seq, b, xor({_U32}, list_reduce(list_prepend({_U32}, b), lambda s, x: xor(s >> 8, list_reduce(list_prepend(xor(s, x) & 255, {_ZEROS}),
+  lambda y, z: xor(y >> 1, (y & 1) * {encoding.CRC_POLYNOMIAL}::UBIGINT))))) AS crc,
+  list_transform(range(0, len(b), 4), lambda i: CAST(b[i + 1] + coalesce(b[i + 2], 0) * 256 + coalesce(b[i + 3], 0) * 65536 + coalesce(b[i + 4], 0) * 16777216
+    + CASE WHEN i + 4 > len(b) THEN 4294967296 ELSE 0 END AS UBIGINT)) AS words FROM b)
+SELECT seq, CAST(crc AS BIGINT) AS crc, CAST((((crc >> 15) | (crc * 131072)) + {encoding.CRC_MASK_DELTA}) % 4294967296 AS BIGINT) AS masked,
+  CAST(list_reduce(list_prepend(xor({encoding.FILTER_SEED}::UBIGINT, len(b) * {encoding.HASH_FACTOR}::UBIGINT % 4294967296), words),
+    lambda s, w: xor({_TURN}, {_TURN} >> CASE WHEN w >= 4294967296 THEN 24 ELSE 16 END)) AS BIGINT) AS hash FROM c""",
     "prefix_lengths": f"""{_NOW}, p AS (SELECT k, lag(k) OVER (ORDER BY k) AS q FROM live)
 SELECT k, CAST(coalesce(list_max(list_filter(range(0, least(length(k), length(q)) + 1), lambda n: left(k, n) = left(q, n))), 0) AS INT) AS shared FROM p""",
     "file_names": "SELECT CAST(n_nationkey AS BIGINT) AS number, printf('%06d.sst', n_nationkey) AS name, 'table' AS type, CAST(n_nationkey AS BIGINT) AS back FROM nation",

@@ -182,6 +182,24 @@ def test_missing_files_are_corruption(spark, tmp_path):
         Database.open(spark, path)
 
 
+def test_writes_stop_for_a_full_level_0(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(compaction, "L0_SLOWDOWN", 1)
+    monkeypatch.setattr(compaction, "L0_STOP", 2)
+    with Database.open(spark, f"file://{tmp_path}/db", NEW) as db:
+        said = []
+        for i in range(6):
+            db.write(WriteBatch().put(b"a", b"%d" % i).put(b"z", b"%d" % i))
+            db.flush()
+            said.append(db.pressure())
+        assert {"none", "slow", "stop"} >= set(said) > {"stop"}
+        db.put(b"m", b"m")
+        assert db.pressure() == "none"
+        assert pairs(db.scan()) == [("a", "5"), ("m", "m"), ("z", "5")]
+        assert db.approximate_size(b"b", b"c") <= db.approximate_size() == sum(f.file_size for f in db.version.files) > 0
+        assert db.approximate_size() < 1 << 20  # all filters together are smaller than one of the fixed default size
+        assert db.approximate_size(b"zz") == 0
+
+
 def test_maintenance(spark, tmp_path):
     """Overlapping flushes pile up in level 0; maintenance moves them; pinned files outlive it, obsolete ones do not."""
     with Database.open(spark, f"file://{tmp_path}/db", NEW) as db:
