@@ -16,7 +16,8 @@ separates words), so an order-5 table has 2**25 cells at most, and words share
 toxic or ``ORDINARY_CUTOFF`` in ordinary documents are kept (a count cutoff; rarer
 words are spelt): that bounds what is gathered and broadcast. Labels come from a
 sample of at most ``MOST_LABELS`` documents of each class (all of them below that);
-the shared counts cover every document and whole texts.
+the curve weighs each by how many of its class it stands for, so that the base rate is
+that of all labels. The shared counts cover every document and whole texts.
 
 Defined cases: null and empty texts have no evidence and a score from the curve's
 value for none; a doc_id with several labels takes their majority (ties: 0); a null
@@ -173,20 +174,22 @@ def evidence(texts: list[bytes], model: Model) -> np.ndarray:
 
 
 class Curve:
-    """Logistic regression by Newton steps, on standardised evidence."""
+    """Logistic regression by Newton steps, on standardised evidence; a row of weight w counts as w rows."""
 
-    def __init__(self, x: np.ndarray, y: np.ndarray, penalty: float = 1.0):
+    def __init__(self, x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None, penalty: float = 1.0):
         self.known = len(x) > 0 and 0 < y.sum() < len(y)
         if not self.known:
             return
-        self.mean, self.scale = x.mean(axis=0), x.std(axis=0) + 1e-9
+        own = np.ones(len(x)) if weight is None else weight
+        self.mean = np.average(x, axis=0, weights=own)
+        self.scale = np.sqrt(np.average((x - self.mean) ** 2, axis=0, weights=own)) + 1e-9
         z = self._design(x)
         self.weight = np.zeros(z.shape[1])
         ridge = penalty * np.eye(z.shape[1])
         ridge[0, 0] = 1e-6
         for _ in range(30):
             p = 1 / (1 + np.exp(-np.clip(z @ self.weight, -30, 30)))
-            step = np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + ridge, z.T @ (p - y) + ridge @ self.weight)
+            step = np.linalg.solve((z * (own * p * (1 - p))[:, None]).T @ z + ridge, z.T @ (own * (p - y)) + ridge @ self.weight)
             self.weight -= step
             if np.abs(step).max() < 1e-8:
                 break
@@ -236,7 +239,8 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def labelled_sample(labels: DataFrame, most: int = MOST_LABELS) -> DataFrame:
-    """doc_id, y of the learning folds: all of a class, or ``most`` at most, by the hash of their ids.
+    """doc_id, y, weight of the learning folds: all of a class, or ``most`` at most, by the hash of their ids.
+    A row's weight is the number of its class's rows that it stands for.
 
     A share of the hashes goes first, so that no task sends more than it must to be sorted."""
     own = common.stored(quality.labelled(labels, "toxic").where(common.fold(F.col("doc_id"), FOLDS) != 0), "own_labels")
@@ -246,7 +250,8 @@ def labelled_sample(labels: DataFrame, most: int = MOST_LABELS) -> DataFrame:
     def part(y: int) -> DataFrame:
         mine = own.where(F.col("y") == y)
         if sizes.get(y, 0) <= most:
-            return mine
+            return mine.withColumn("weight", F.lit(1.0))
+        mine = mine.withColumn("weight", F.lit(sizes[y] / most))
         return mine.where(draw < 1.2 * most / sizes[y]).orderBy(draw, "doc_id").limit(most)
 
     return part(0).unionByName(part(1))
@@ -259,7 +264,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELS):
     thin = docs.select(F.col("doc_id").alias("doc_id"), "text")
     calibrates = common.fold(F.col("doc_id"), FOLDS) == CALIBRATION
     # The sample has at most 2 * most rows of 12 bytes.
-    marked = thin.join(F.broadcast(sample), "doc_id", "left").select(F.when(~calibrates, F.col("y")).alias("y"), "text")
+    marked = thin.join(F.broadcast(sample.select("doc_id", "y")), "doc_id", "left").select(F.when(~calibrates, F.col("y")).alias("y"), "text")
     counts = common.stored(marked.mapInArrow(_counted, "part int, key int, o long, t long").groupBy("part", "key").agg(F.sum("o").alias("o"), F.sum("t").alias("t")), "counts")
     word = counts.where(F.col("part") == WORD)
     facts = word.agg(*(f(F.col(c)) for c in "ot" for f in (F.sum, lambda x: F.count_if(x > 0), lambda x: F.count_if(x == 1), lambda x: F.count_if(x == 2)))).first()
@@ -271,9 +276,9 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELS):
     cells = (key[part == ALL], o[part == ALL], key[part == SPELT], n[:, part == SPELT], key[part == WORD].astype(np.int64), n[:, part == WORD])
     sent = spark.sparkContext.broadcast(common.Recipe(Model, *cells, np.array(facts).reshape(2, 4)))
     found = evidence_udf(sent)
-    held = thin.join(F.broadcast(sample.where(calibrates)), "doc_id").select("y", found("text").alias("e")).toArrow()
+    held = thin.join(F.broadcast(sample.where(calibrates)), "doc_id").select("y", "weight", found("text").alias("e")).toArrow()
     x = held["e"].combine_chunks().flatten().to_numpy().reshape(-1, SIZE)
-    return sent, Curve(x, held["y"].to_numpy())
+    return sent, Curve(x, held["y"].to_numpy(), held["weight"].to_numpy())
 
 
 def evidence_udf(sent):

@@ -124,6 +124,23 @@ def test_label_sample_is_bounded(spark):
         assert all(remainder(r["doc_id"], 5) != 0 and r["y"] == int(r["doc_id"] % 4 == 0) for r in out)
 
 
+def test_a_bounded_sample_keeps_the_base_rate(spark):
+    """A tenth is toxic and words say little of it: scores stay near a tenth when the bound makes the classes even."""
+    rng = np.random.default_rng(8)
+    rows = [(i, prose(rng, 40), "en", "a") for i in range(2400)]
+    docs, labels = messy.documents(spark, rows), messy.labels(spark, [(i, 1, int(rng.random() < 0.1), None) for i in range(2400)])
+    means = [np.mean([r["score"] for r in toxicity.scores(docs, labels, most).where("held_out").collect()]) for most in (10_000, 150)]
+    assert abs(means[0] - 0.1) < 0.06 and abs(means[1] - means[0]) < 0.06
+
+
+def test_a_weight_counts_as_so_many_rows():
+    rng = np.random.default_rng(3)
+    x, y = rng.normal(0, 1, (300, 3)), rng.integers(0, 2, 300)
+    weight = np.where(y == 1, 1, 4)
+    long, short = toxicity.Curve(np.repeat(x, weight, axis=0), np.repeat(y, weight)), toxicity.Curve(x, y, weight)
+    assert np.allclose(long.score(x), short.score(x), atol=1e-6)
+
+
 def test_distributions_sum_to_one():
     rng = np.random.default_rng(4)
     texts = [prose(rng, 200) for _ in range(20)]
