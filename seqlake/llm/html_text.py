@@ -2,12 +2,12 @@
 
 The standard library's parser streams a page's events; block elements cut the page
 into lines. Elements that are never content by their name, role or class (menus,
-forms, scripts, adverts and the like) are left out as they stream by. Each line has
-a text-to-tag ratio; the ratios are smoothed along the page with a Gaussian, and a
-threshold that splits the smoothed ratios into two clusters marks content lines.
-Content regions are then the blocks of the smallest container that holds most of the
-marked text, without inner containers in which no line is marked; where a page has
-an ``article`` or ``main``, only lines inside it are looked at.
+forms, scripts, adverts and the like) are left out as they stream by. Where a page has
+an ``article`` or ``main``, the text is every line inside it, short ones in lists and
+tables too. Else each line has a text-to-tag ratio; the ratios are smoothed along the
+page with a Gaussian, and a threshold that splits the smoothed ratios into two clusters
+marks content lines. Content regions are then the blocks of the smallest container that
+holds most of the marked text, without inner containers in which no line is marked.
 
 Defined cases: a null or empty page gives the empty text; broken markup is read as
 far as the parser goes, unclosed elements ending with what encloses them, and a tag
@@ -181,7 +181,9 @@ def main_text(html: str | None) -> str:
     if not lines and page.missed:  # a wrapper named after the sidebar beside it holds the article
         page = _read(html, True)
         lines = [x for x in page.lines if x[2] >= 0 and page.article[x[2]]]
-    lines = lines or page.lines
+    if lines:
+        return "\n".join(text for text, _, _ in lines)
+    lines = page.lines
     if len(lines) < 2:
         return lines[0][0] if lines else ""
     size = np.array([len(t) for t, _, _ in lines], float)

@@ -33,6 +33,23 @@ def test_page_without_article():
     assert text == "\n".join(f"This is sentence number {i} of a long text without links in it." for i in range(8))
 
 
+def test_an_article_keeps_its_short_parts():
+    long = [f"{i} " + "word " * 79 + "end" for i in range(4)]
+    ps = [f"<p>{x}</p>" for x in long]
+    items, cells = [f"{i} item of a list, of forty letters." for i in range(8)], [f"cell no. {i}" for i in range(9)]
+    for part, lines in (
+        ("<ul>" + "".join(f"<li>{x}</li>" for x in items) + "</ul>", items),
+        ("<table><tr>" + "".join(f"<td>{x}</td>" for x in cells) + "</tr></table>", cells),
+        ("<section><h2>A heading of some words</h2><p>A short paragraph under it.</p></section>", ["A heading of some words", "A short paragraph under it."]),
+        ("<blockquote><p>Said once.</p></blockquote>", ["Said once."]),
+    ):
+        for name in ("article", "main"):
+            page = f"<body><div>Menu</div><{name}><h1>Head</h1>{''.join(ps)}{part}</{name}><div>Foot</div></body>"
+            assert html_text.main_text(page).split("\n") == ["Head", *long, *lines]
+            page = f"<body><{name}><h1>Head</h1><div>{''.join(ps)}</div><div>{part}</div></{name}></body>"  # the first div has most of the text
+            assert html_text.main_text(page).split("\n") == ["Head", *long, *lines]
+
+
 def test_article_in_a_misnamed_wrapper():
     inner = "<article><h1>H</h1><p>The text of it.</p><div class='share'>Share</div></article>"
     assert html_text.main_text(f"<body><div class='with-sidebar'><nav>x</nav>{inner}<div id=sidebar>side</div></div></body>") == "H\nThe text of it."
