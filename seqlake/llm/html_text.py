@@ -10,8 +10,9 @@ marks content lines. Content regions are then the blocks of the smallest contain
 holds most of the marked text, without inner containers in which no line is marked.
 
 Defined cases: a null or empty page gives the empty text; broken markup is read as
-far as the parser goes, unclosed elements ending with what encloses them, and a tag
-that the page's end cuts off is no text; the time for a page follows its length however
+far as the parser goes, unclosed elements ending with what encloses them or where HTML
+ends them (within their scope: an item in its list, a cell in its table), and a tag that
+the page's end cuts off is no text; the time for a page follows its length however
 deep it is nested; ties between containers go to the inner one; repeated rows give the same text; other
 columns are ignored.
 """
@@ -42,8 +43,26 @@ BESIDE = frozenset(
     "sidebar aside header masthead footer comment comments reply replies disqus respond cookie cookies consent notice notices alert popup modal overlay "
     "share sharing social related recommended newsletter subscribe subscription signup login search widget pagination pager toolbar copyright legal disclaimer gdpr".split()
 )
-#: Elements that a new one of the same kind ends.
-CLOSES_ITSELF = frozenset("p li dt dd tr td th option".split())
+#: By scope, what a new element looks back to: the last open one of these is ended if it is of a kind that the new one ends, and else shields what is around it.
+SCOPES = {
+    "p": frozenset("p body caption td th table button object template".split()),
+    "item": (BLOCK | NEVER) - {"address", "div", "p"},
+    "cell": frozenset("td th table template".split()),
+    "row": frozenset("tr table template".split()),
+    "option": frozenset("option select datalist".split()),
+}
+WATCHED = {tag: tuple(s for s, tags in SCOPES.items() if tag in tags) for tag in frozenset().union(*SCOPES.values())}
+#: By new element, the scopes and the kinds that it ends in them.
+_PARAGRAPH = ("p", frozenset(["p"]))
+ENDS = {tag: (_PARAGRAPH,) for tag in BLOCK - frozenset("body html caption legend tbody td tfoot th thead tr".split())} | {
+    "li": (("item", frozenset(["li"])), _PARAGRAPH),
+    "dt": (("item", frozenset(["dt", "dd"])), _PARAGRAPH),
+    "dd": (("item", frozenset(["dt", "dd"])), _PARAGRAPH),
+    "td": (("cell", frozenset(["td", "th"])),),
+    "th": (("cell", frozenset(["td", "th"])),),
+    "tr": (("row", frozenset(["tr"])),),
+    "option": (("option", frozenset(["option"])),),
+}
 _MARKUP = re.compile("<[A-Za-z/!?]")
 
 
@@ -68,6 +87,7 @@ class Lines(HTMLParser):
         self.trusting = trusting
         self.stack: list[str] = []
         self.within: Counter[str] = Counter()
+        self.seen: dict[str, list[str]] = {scope: [] for scope in SCOPES}
         self.skipping: int | None = None
         self.by_name = self.missed = False
         self.boxes: list[tuple[int, int]] = []
@@ -85,8 +105,9 @@ class Lines(HTMLParser):
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.tags += 1
-        if tag in CLOSES_ITSELF and tag in self.stack[-4:]:
-            self.handle_endtag(tag, counted=False)
+        for scope, kinds in ENDS.get(tag, ()):
+            if (seen := self.seen[scope]) and seen[-1] in kinds:
+                self.handle_endtag(seen[-1], counted=False)
         if tag in BLOCK and self.skipping is None:
             self.flush()
         elif tag == "br":
@@ -95,6 +116,8 @@ class Lines(HTMLParser):
             return
         self.stack.append(tag)
         self.within[tag] += 1
+        for scope in WATCHED.get(tag, ()):
+            self.seen[scope].append(tag)
         if self.skipping is not None:
             self.missed |= tag in ("article", "main") and not self.by_name and not _beside(attrs, False)
         else:
@@ -123,6 +146,8 @@ class Lines(HTMLParser):
         while self.stack:
             last = self.stack.pop()
             self.within[last] -= 1
+            for scope in WATCHED.get(last, ()):
+                self.seen[scope].pop()
             if self.skipping is not None and len(self.stack) < self.skipping:
                 self.skipping = None
                 self.words.clear()

@@ -56,6 +56,17 @@ def test_article_in_a_misnamed_wrapper():
     assert html_text.main_text("<body><div class='comments'><article class='comment'>c</article></div><div class=ad>ad</div></body>") == ""
 
 
+def test_unclosed_elements_end_in_their_scope():
+    inner = "<h1>T</h1><p>text<p>more<ul><li>a<li>b</ul><table><tr><td>1<td>2<tr><th>3<td>4</table><dl><dt>x<dd>y<dt>z</dl>last"
+    want = "T text more a b 1 2 3 4 x y z last".split()
+    for around in ("%s", "<p>Skip%s", "<p><b>Skip%s", "<ul><li>%s</ul>", "<dl><dd>%s</dl>", "<table><tr><td>%s</td></tr></table>", "<p>Skip<div><ul><li><div>%s</div></ul></div>"):
+        for name in ("article", "main"):
+            page = "<body>" + around % f"<{name}>{inner}</{name}>" + "<p>after</p></body>"
+            assert html_text.main_text(page).split("\n") == want, page
+    page = html_text._read("<ul><li><a><b><i><u>one<li>two</ul><div><p><b><i><u><s>three<p>four", False)
+    assert page.stack == ["div", "p"] and [t for t, _, _ in page.lines] == ["one", "two", "three", "four"]
+
+
 def test_broken_pages():
     for page, want in ((None, ""), ("", ""), ("plain text", "plain text"), ("<p>a<p>b", "a\nb"), ("<b>x", "x"), ("</div>y</p>", "y"), ("<nav>menu", ""), ("a &am", "a &am"), ("<!-- c -->", ""), ("<script>x", ""), ("<p>  </p>", "")):
         assert html_text.main_text(page) == want
