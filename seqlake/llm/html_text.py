@@ -2,7 +2,8 @@
 
 The standard library's parser streams a page's events; block elements cut the page
 into lines. Elements that are never content by their name, role or class (menus,
-forms, scripts, adverts and the like) are left out as they stream by. Where a page has
+forms, scripts, adverts and the like) are left out as they stream by; an outermost article is
+never left out by its class or id, and inside one only whole class names count. Where a page has
 an ``article`` or ``main``, the text is every line inside it, short ones in lists and
 tables too. Else each line has a text-to-tag ratio; the ratios are smoothed along the
 page with a Gaussian, and a threshold that splits the smoothed ratios into two clusters
@@ -37,7 +38,7 @@ BLOCK = frozenset("address article aside blockquote body caption center dd detai
 CONTAINER = frozenset("article main section div td body blockquote ul ol table".split())
 NEVER = frozenset("head script style noscript template nav footer aside form button select option textarea input iframe svg canvas object dialog menu audio video map".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
-#: Words that name a part beside the article in a class or id.
+#: Words that name a part beside the article in a class or id; inside an article, only in names made of nothing but them and PARTS.
 BESIDE = frozenset(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner nav navbar navigation menu breadcrumb breadcrumbs "
     "sidebar aside header masthead footer comment comments reply replies disqus respond cookie cookies consent notice notices alert popup modal overlay "
@@ -63,14 +64,28 @@ ENDS = {tag: (_PARAGRAPH,) for tag in BLOCK - frozenset("body html caption legen
     "tr": (("row", frozenset(["tr"])),),
     "option": (("option", frozenset(["option"])),),
 }
+PARTS = frozenset("area areas bar block blocks box boxes btn button buttons card cards container content entry form group icon icons inner item items link links list page post posts row section site slot thread title unit widget widgets wrap wrapper".split())
+#: Elements whose id is not made from the article's own words, as those of headings and sections are.
+GENERIC = frozenset("div ul ol".split())
 _MARKUP = re.compile("<[A-Za-z/!?]")
 
 
-def _beside(attributes: list[tuple[str, str | None]], inside: bool) -> bool:
+def _words(name: str) -> list[str]:
+    return "".join(c if c.isalnum() else " " for c in name.lower()).split()
+
+
+def _names_part(name: str) -> bool:
+    words = _words(name)
+    return all(w in BESIDE or w in PARTS for w in words) and any(w in BESIDE and w not in ("header", "copyright", "legal") for w in words)
+
+
+def _beside(tag: str, attributes: list[tuple[str, str | None]], inside: bool) -> bool:
     for name, value in attributes:
         if name in ("class", "id") and value:
-            words = "".join(c if c.isalnum() else " " for c in value.lower()).split()
-            if any(w in BESIDE and not (inside and w in ("header", "copyright", "legal")) for w in words):
+            if inside:
+                if (name == "class" or tag in GENERIC) and any(map(_names_part, value.split())):
+                    return True
+            elif tag not in ("article", "main") and any(w in BESIDE for w in _words(value)):
                 return True
         elif name == "role" and value and value.lower() in ROLES:
             return True
@@ -119,12 +134,12 @@ class Lines(HTMLParser):
         for scope in WATCHED.get(tag, ()):
             self.seen[scope].append(tag)
         if self.skipping is not None:
-            self.missed |= tag in ("article", "main") and not self.by_name and not _beside(attrs, False)
+            self.missed |= tag in ("article", "main") and not self.by_name and not _beside(tag, attrs, True)
         else:
             box = self.boxes[-1][1] if self.boxes else -1
             inside = box >= 0 and self.article[box]
             self.by_name = tag in NEVER or (tag == "header" and not inside)
-            if self.by_name or (attrs and tag not in ("html", "body") and (inside or not self.trusting) and _beside(attrs, inside)):
+            if self.by_name or (attrs and tag not in ("html", "body") and (inside or not self.trusting) and _beside(tag, attrs, inside)):
                 self.flush()
                 self.skipping = len(self.stack)
             elif tag in CONTAINER:

@@ -50,6 +50,18 @@ def test_an_article_keeps_its_short_parts():
             assert html_text.main_text(page).split("\n") == ["Head", *long, *lines]
 
 
+def test_names_made_of_the_articles_own_words():
+    for part in ('section id="social-impact"', 'h2 id="related-work"', 'h2 id="copyright"', 'div class="search-results-explained"', 'p class="no-comment-needed"', 'section id="comments"'):
+        assert html_text.main_text(f"<body><article><h1>T</h1><{part}>own words</{part.split()[0]}></article></body>") == "T\nown words", part
+    for part in ('div class="post-share"', 'div class="x related-posts"', 'div id="comments"', 'div class="ad-container"', 'ul class="social"', 'article class="comment"', 'section hidden', 'p role="alert"'):
+        assert html_text.main_text(f"<body><article><h1>T</h1><{part}>not this</{part.split()[0]}></article></body>") == "T", part
+    for name in ('article class="post category-social"', 'article class="tag-login"', 'main id="search"', 'article class="sponsored"'):
+        for around in ("%s", '<div class="with-sidebar">%s</div>') if "-" in name else ("%s",):
+            page = around % f"<{name}><p>own words</p></{name.split()[0]}>"
+            assert html_text.main_text(f"<body><div>Menu</div>{page}</body>") == "own words", page
+    assert html_text.main_text("<body><div class='related-links-x'>no</div><article>own words</article><article hidden>no</article></body>") == "own words"
+
+
 def test_article_in_a_misnamed_wrapper():
     inner = "<article><h1>H</h1><p>The text of it.</p><div class='share'>Share</div></article>"
     assert html_text.main_text(f"<body><div class='with-sidebar'><nav>x</nav>{inner}<div id=sidebar>side</div></div></body>") == "H\nThe text of it."
