@@ -12,8 +12,9 @@ Each language learns from a sample of about ``SAMPLE_DOCS`` documents, drawn by
 hash of their ids from the learning folds, of which the automaton reads ``EACH``
 letters each and ``LETTERS`` in all: the bound on what is gathered and broadcast.
 Many short pieces stand for a language better than a few long ones, in which a
-passage in another language would weigh much. A language with fewer documents
-gives them all. Letters are lower-cased and folded to an alphabet of the
+passage in another language would weigh much; they come from all over a text. A
+language with fewer documents gives them all, and more letters of each, up to
+``LETTERS`` in all. Letters are lower-cased and folded to an alphabet of the
 ``SIGNS`` - 2 most frequent of the sample and one for all others; whatever is no
 letter is a space.
 
@@ -35,6 +36,7 @@ from . import common
 FOLDS, HELD = 3, 1
 SAMPLE_DOCS = 200
 EACH = 300
+PIECE = 100
 LETTERS = 60_000
 SIGNS = 64
 LANE = 1024
@@ -47,6 +49,16 @@ def letters(text: str) -> str:
     return " ".join("".join(c if c.isalpha() else " " for c in text.lower()).split())
 
 
+def spread(text: str, most: int) -> str:
+    """``most`` letters at most: all, or pieces of about ``PIECE`` at even distances from the text's begin to its end."""
+    own = letters(text)
+    if len(own) <= most:
+        return own
+    n = max(1, most // PIECE)
+    size = most // n - 1
+    return " ".join(own[(len(own) - size) * i // max(1, n - 1) :][:size] for i in range(n))
+
+
 class Alphabet:
     def __init__(self, sample: str):
         codes, n = np.unique(np.frombuffer(sample.encode("utf-32-le"), np.uint32), return_counts=True)
@@ -164,11 +176,17 @@ def samples(docs: DataFrame, most: int = SAMPLE_DOCS) -> dict[str, str]:
         return {}
     share = F.create_map(*(x for r in counts for x in (F.lit(r["lang"]), F.lit(most / r["n"]))))
     draw = F.pmod(F.xxhash64(F.col("doc_id")), F.lit(1 << 30)) / float(1 << 30)
-    rows = learn.where(draw < share[F.col("lang")]).select("lang", draw.alias("draw"), F.substring("text", 1, 4 * EACH).alias("text")).collect()
+    each = F.create_map(*(x for r in counts for x in (F.lit(r["lang"]), F.lit(max(EACH, LETTERS // min(most, r["n"]))))))
+
+    @arrow_udf("string")
+    def pieces(text: pa.Array, most: pa.Array) -> pa.Array:
+        return pa.array([spread(t or "", n) for t, n in zip(text.to_pylist(), most.to_pylist(), strict=True)], pa.string())
+
+    rows = learn.where(draw < share[F.col("lang")]).select("lang", draw.alias("draw"), pieces(F.col("text"), each[F.col("lang")]).alias("text")).collect()
     out: dict[str, str] = {r["lang"]: "" for r in counts}
-    for r in sorted(rows, key=lambda r: (r["draw"], r["text"] or "")):
+    for r in sorted(rows, key=lambda r: (r["draw"], r["text"])):
         if len(out[r["lang"]]) < LETTERS:
-            out[r["lang"]] += letters(r["text"] or "")[:EACH] + " "
+            out[r["lang"]] += r["text"] + " "
     return {k: v[:LETTERS] for k, v in out.items() if v.strip()}
 
 

@@ -188,6 +188,17 @@ def test_languages(spark, small):
     assert np.mean([out[r["doc_id"]]["lang_pred"] == r["lang"] for r in rows if out[r["doc_id"]]["held_out"]]) > 0.95
 
 
+def test_few_documents_are_learnt_whole(spark):
+    """Five documents of 10,000 letters give all of them; of many long ones, begin, middle and end are read."""
+    few = [i for i in range(100) if remainder(i, 3) != 1][:5]
+    rows = [(i, " ".join(f"{chr(97 + k % 26)}{chr(97 + k // 26 % 26)}{chr(97 + k // 676)}" for k in range(2500)), "xx", "a") for i in few]
+    rows += [(1000 + i, "a" * 4000 + "b" * 4000 + "c" * 4000, "yy", "a") for i in range(600)]
+    learnt = langid.samples(messy.documents(spark, rows))
+    assert learnt["xx"].split() == [w for _, t, _, _ in rows[:5] for w in t.split()]
+    n = Counter(learnt["yy"])
+    assert 40_000 < len(learnt["yy"]) <= langid.LETTERS and min(n[c] for c in "abc") > 0.25 * len(learnt["yy"])
+
+
 def test_languages_hostile(spark):
     docs = messy.documents(spark)
     out = langid.predictions(docs).collect()
