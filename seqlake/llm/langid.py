@@ -8,8 +8,8 @@ lanes of ``LANE`` letters that step together, so whole texts are read at the cos
 a few vector operations a letter and language. A lane's end cuts a phrase for every
 language alike.
 
-Each language learns from a sample of about ``SAMPLE_DOCS`` documents, drawn by the
-hash of their ids from the learning folds, of which the automaton reads ``EACH``
+Each language learns from a sample of ``SAMPLE_DOCS`` documents, drawn by the hash of
+their ids and texts from the learning folds (rows alike in both are one), of which the automaton reads ``EACH``
 letters each and ``LETTERS`` in all: the bound on what is gathered and broadcast.
 Many short pieces stand for a language better than a few long ones, in which a
 passage in another language would weigh much; they come from all over a text. A
@@ -27,7 +27,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
@@ -169,21 +169,35 @@ class Recogniser:
 
 
 def samples(docs: DataFrame, most: int = SAMPLE_DOCS) -> dict[str, str]:
-    """Letters of about ``most`` learning documents of each language, in the order of their hashes, ``LETTERS`` at most."""
-    learn = docs.where(F.col("lang").isNotNull() & (common.fold(F.col("doc_id"), FOLDS) != HELD))
-    counts = learn.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()
+    """Letters of ``most`` learning documents of each language at most, in the order of their hashes, ``LETTERS`` at most.
+
+    Texts are fetched only once the documents are chosen: that many, however often an id or a row is repeated."""
+    learn = docs.where(F.col("lang").isNotNull() & (common.fold(F.col("doc_id"), FOLDS) != HELD)).select("lang", F.xxhash64("doc_id", "text").alias("h"), "text")
+    keys = common.stored(learn.select("lang", "h").distinct(), "learning_keys")
+    counts = {r["lang"]: r["n"] for r in keys.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not counts:
         return {}
-    share = F.create_map(*(x for r in counts for x in (F.lit(r["lang"]), F.lit(most / r["n"]))))
-    draw = F.pmod(F.xxhash64(F.col("doc_id")), F.lit(1 << 30)) / float(1 << 30)
-    each = F.create_map(*(x for r in counts for x in (F.lit(r["lang"]), F.lit(max(EACH, LETTERS // min(most, r["n"]))))))
+    draw = F.pmod(F.col("h"), F.lit(1 << 30))
+
+    def by_lang(values: dict) -> Column:
+        return F.create_map(*(F.lit(x) for pair in values.items() for x in pair))[F.col("lang")]
+
+    # Some more than wanted, so that hardly ever fewer are drawn; the driver takes the first.
+    drawn: dict[str, list[tuple[int, int]]] = {}
+    for r in keys.where(draw < by_lang({x: (1.5 * most + 50) / n * (1 << 30) for x, n in counts.items()})).select("lang", draw.alias("draw"), "h").collect():
+        drawn.setdefault(r["lang"], []).append((r["draw"], r["h"]))
+    chosen = {x: sorted(found)[:most] for x, found in drawn.items()}
+    if not chosen:
+        return {}
 
     @arrow_udf("string")
     def pieces(text: pa.Array, most: pa.Array) -> pa.Array:
         return pa.array([spread(t or "", n) for t, n in zip(text.to_pylist(), most.to_pylist(), strict=True)], pa.string())
 
-    rows = learn.where(draw < share[F.col("lang")]).select("lang", draw.alias("draw"), pieces(F.col("text"), each[F.col("lang")]).alias("text")).collect()
-    out: dict[str, str] = {r["lang"]: "" for r in counts}
+    texts = learn.where(draw <= by_lang({x: found[-1][0] for x, found in chosen.items()})).groupBy("lang", "h").agg(F.first("text").alias("text"))
+    each = by_lang({x: max(EACH, LETTERS // len(found)) for x, found in chosen.items()})
+    rows = texts.select("lang", draw.alias("draw"), pieces("text", each).alias("text")).collect()
+    out: dict[str, str] = dict.fromkeys(counts, "")
     for r in sorted(rows, key=lambda r: (r["draw"], r["text"])):
         if len(out[r["lang"]]) < LETTERS:
             out[r["lang"]] += r["text"] + " "

@@ -199,6 +199,17 @@ def test_few_documents_are_learnt_whole(spark):
     assert 40_000 < len(learnt["yy"]) <= langid.LETTERS and min(n[c] for c in "abc") > 0.25 * len(learnt["yy"])
 
 
+def test_repeated_ids_do_not_fill_the_driver(spark, monkeypatch):
+    rows = [(None if i % 2 else 7_000_000, f"text {chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676)}", "en", "a") for i in range(3000)] + [(11, "again", "fr", "a")] * 2000
+    assert remainder("", 3) != 1 and remainder(11, 3) != 1
+    docs, sizes = messy.documents(spark, rows), []
+    kind, plain = type(docs), type(docs).collect
+    monkeypatch.setattr(kind, "collect", lambda self: (sizes.append(len(x := plain(self))), x)[1])
+    learnt = langid.samples(docs)
+    assert max(sizes) < 3 * langid.SAMPLE_DOCS
+    assert len(set(learnt["en"].split())) == langid.SAMPLE_DOCS + 1 and learnt["fr"] == "again "
+
+
 def test_languages_hostile(spark):
     docs = messy.documents(spark)
     out = langid.predictions(docs).collect()
