@@ -14,13 +14,19 @@ tokens, or given ``targets``; a queue that runs dry leaves its part to the other
 Served tokens are laid end to end and cut into sequences, so only the last one
 could need padding; its rest is cut into powers of two, which need none.
 
-Defined cases: a null text counts as empty (its one token is the end mark); a null
-source is a queue of its own; repeated rows are packed as often as they occur;
-an empty table gives an empty result.
+Defined cases: a null text counts as empty (its one token is the end mark); a special
+token's string in a text becomes that token, as the library does by default; a null
+source is a queue of its own; a very long text is cut like any other; rows are told
+apart by a row id, so ties in doc_id and repeated rows are packed as often as they
+occur; other columns are ignored, whatever their names; an empty table gives an empty
+result.
 """
 
 from __future__ import annotations
 
+import functools
+import json
+import re
 import zlib
 
 import numpy as np
@@ -37,25 +43,60 @@ WINDOW = 64 * SEQUENCE
 END_ID = 0
 BUCKET_ROWS = 512
 NO_SOURCE = "\x00"
-_ENCODERS: dict = {}
 
 
-def encoder(path: str):
-    """Text to ids by the byte-level BPE of a ``tokenizers`` file. tiktoken merges the same
-    vocabulary several times faster; ids are those of ``tokenizers`` (tests hold them equal)."""
-    if path not in _ENCODERS:
-        import json
+class Encoder:
+    """Text to ids as a ``tokenizers`` file says, without the tokens that a post-processor adds.
 
-        import public_tokenizers
-        import tiktoken
+    tiktoken merges byte-level BPE several times faster than the library. It takes the file's
+    ranks where the file is of that plain form (checked), else the library itself is used.
+    Special tokens are cut out of the text first, the leftmost, then the longest one.
+    """
 
+    def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
-            model = json.load(f)
-        special = {t["content"] for t in model["added_tokens"]}
-        byte_of = _byte_of()
-        ranks = {bytes(byte_of[c] for c in token): i for token, i in model["model"]["vocab"].items() if token not in special}
-        _ENCODERS[path] = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    return _ENCODERS[path]
+            given = json.load(f)
+        self.special = {t["content"]: t["id"] for t in given["added_tokens"]}
+        self.n_vocab = 1 + max([*given["model"]["vocab"].values(), *self.special.values()])
+        self._cut = re.compile("|".join(map(re.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
+        self._plain = self._library = None
+        if self._is_plain(given):
+            import public_tokenizers
+            import tiktoken
+
+            byte_of = _byte_of()
+            ranks = {bytes(byte_of[c] for c in token): i for token, i in given["model"]["vocab"].items() if token not in self.special}
+            del given
+            self._plain = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        else:
+            from tokenizers import Tokenizer
+
+            self._library = Tokenizer.from_file(path)
+
+    @staticmethod
+    def _is_plain(given: dict) -> bool:
+        model, before = given["model"], given.get("pre_tokenizer") or {}
+        odd = [model.get(x) for x in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges")]
+        odd += [t[x] for t in given["added_tokens"] for x in ("single_word", "lstrip", "rstrip", "normalized")]
+        simple = before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space")
+        return model["type"] == "BPE" and simple and not given.get("normalizer") and not any(odd)
+
+    def encode(self, text: str) -> list[int]:
+        if self._library:
+            return self._library.encode(text, add_special_tokens=False).ids
+        if not self._cut or not self._cut.search(text):
+            return self._plain(text)
+        out, at = [], 0
+        for m in self._cut.finditer(text):
+            out += self._plain(text[at : m.start()])
+            out.append(self.special[m[0]])
+            at = m.end()
+        return out + self._plain(text[at:])
+
+
+@functools.cache
+def encoder(path: str) -> Encoder:
+    return Encoder(path)
 
 
 def _byte_of() -> dict[str, int]:
@@ -75,7 +116,7 @@ def token_columns(path: str):
         n, ids = [], []
         for part in common.chunks(text):
             for raw in part:
-                got = e.encode_ordinary(raw.decode())
+                got = e.encode(raw.decode())
                 got.append(END_ID)
                 n.append(len(got))
                 ids.append(np.array(got, kind).tobytes())
@@ -156,10 +197,10 @@ def _covered(queues: DataFrame, targets: dict[str, float]) -> None:
         raise ValueError(f"targets name no proportion for source {missing[0]['q']!r}")
 
 
-def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, targets: dict[str, float] | None = None) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, targets: dict[str, float] | None = None, with_ids: bool = True) -> DataFrame:
     """One row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, source, window, ids.
 
-    ``ids`` holds the piece's ids as little-endian 32-bit numbers.
+    ``ids`` holds the piece's ids as little-endian 32-bit numbers; without ``with_ids`` there is no such column.
     """
     tokens = token_columns(tokenizer)
     read = docs.select(F.col("doc_id").alias("doc_id"), F.coalesce(F.col("source").cast("string"), F.lit(NO_SOURCE)).alias("q"), tokens("text").alias("x"))
@@ -174,9 +215,9 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, targets: dict[st
         .agg(F.sort_array(F.collect_list(F.struct("begin", "length", (F.col("base") + F.col("before")).alias("at"), "w"))).alias("runs"))
     )
     total = table.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    cut = _cutter(total)
+    cut = _cutter(total, with_ids)
     out = table.join(laid, "rid").select("doc_id", F.col("n").cast("long").alias("doc_tokens"), F.nullif("q", F.lit(NO_SOURCE)).alias("source"), F.explode(cut("ids", "n", "runs")).alias("p"))
-    return out.select("doc_id", "p.start", "p.length", "p.ids_crc32", "doc_tokens", "p.sequence_id", "p.offset", "source", "p.window", "p.ids")
+    return out.select("doc_id", "p.start", "p.length", "p.ids_crc32", "doc_tokens", "p.sequence_id", "p.offset", "source", "p.window", *(["p.ids"] if with_ids else []))
 
 
 def boundaries(total: int) -> tuple[int, list[int]]:
@@ -190,34 +231,39 @@ def boundaries(total: int) -> tuple[int, list[int]]:
     return whole, ends
 
 
-def _cutter(total: int):
+def _cutter(total: int, with_ids: bool):
     whole, ends = boundaries(total)
     tail = [whole * SEQUENCE, *ends]
+    names = ["start", "length", "ids_crc32", "sequence_id", "offset", "window"]
 
-    @arrow_udf("array<struct<start: long, length: long, ids_crc32: long, sequence_id: long, offset: long, window: long, ids: binary>>")
+    @arrow_udf("array<struct<start: long, length: long, ids_crc32: long, sequence_id: long, offset: long, window: long" + (", ids: binary>>" if with_ids else ">>"))
     def cut(ids: pa.Array, n: pa.Array, runs: pa.Array) -> pa.Array:
-        out = []
-        for raw, size, mine in zip(ids.to_pylist(), n.to_pylist(), runs.to_pylist(), strict=True):
-            raw = np.frombuffer(raw, f"<u{len(raw) // size}").astype("<u4").tobytes()
-            pieces = []
+        pieces: list[tuple] = []
+        data: list[bytes] = []
+        counts = [0]
+        # Row by row from Arrow's own buffers: Python holds the ids of one document at a time.
+        for raw, size, mine in zip(ids, n.to_pylist(), runs.to_pylist(), strict=True):
+            raw = raw.as_buffer()
+            raw = np.frombuffer(raw, f"<u{len(raw) // size}").astype("<u4").view(np.uint8)
             for r in mine:
                 start, left, at = r["begin"], r["length"], r["at"]
                 while left:
                     if at < tail[0]:
-                        sequence, first, stop = at // SEQUENCE, at // SEQUENCE * SEQUENCE, at // SEQUENCE * SEQUENCE + SEQUENCE
+                        sequence, first = divmod(at, SEQUENCE)
+                        first, stop = at - first, at - first + SEQUENCE
                     else:
                         k = next(i for i in range(len(ends)) if at < ends[i])
                         sequence, first, stop = whole + k, tail[k], ends[k]
                     take = min(left, stop - at)
                     piece = raw[4 * start : 4 * (start + take)]
-                    pieces.append((start, take, zlib.crc32(piece), sequence, at - first, r["w"], piece))
+                    pieces.append((start, take, zlib.crc32(piece), sequence, at - first, r["w"]))
+                    if with_ids:
+                        data.append(piece.tobytes())
                     start, left, at = start + take, left - take, at + take
-            out.append(pieces)
-        flat = [p for pieces in out for p in pieces]
-        columns = list(zip(*flat, strict=True)) if flat else [()] * 7
-        kinds = [pa.int64()] * 6 + [pa.binary()]
-        names = ["start", "length", "ids_crc32", "sequence_id", "offset", "window", "ids"]
-        struct = pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
-        return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum([len(p) for p in out])].astype(np.int32)), struct)
+            counts.append(len(pieces))
+        columns = list(zip(*pieces, strict=True)) if pieces else [()] * len(names)
+        arrays = [pa.array(c, pa.int64()) for c in columns] + ([pa.array(data, pa.binary())] if with_ids else [])
+        struct = pa.StructArray.from_arrays(arrays, names + ["ids"] * with_ids)
+        return pa.ListArray.from_arrays(pa.array(counts, pa.int32()), struct)
 
     return cut

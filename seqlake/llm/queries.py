@@ -37,7 +37,7 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pieces(docs: DataFrame) -> DataFrame:
-    return packing.pack(docs, tokenizer()).drop("ids", "source", "window")
+    return packing.pack(docs, tokenizer(), with_ids=False).drop("source", "window")
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,11 +1,13 @@
 """Packing: an exact round trip, ids as the tokenizers library gives them, windows near their targets."""
 
+import json
 import zlib
 from collections import Counter, defaultdict
 from fractions import Fraction
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from seqlake.llm import packing, queries
 from seqlake.llm.common import table
 
@@ -16,7 +18,6 @@ def library_ids(texts):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(queries.tokenizer())
-    t.encode_special_tokens = True
     return [[*e.ids, 0] for e in t.encode_batch([x or "" for x in texts], add_special_tokens=False)]
 
 
@@ -114,19 +115,69 @@ def test_given_targets(spark):
         packing.pack(docs, queries.tokenizer(), targets={"a": 1.0})
 
 
+def test_unequal_targets_over_all_windows(spark):
+    """Three sources far from their targets: each window is as planned until a source ends, then the others share it."""
+    sizes, targets = {"a": 300, "b": 120, None: 60}, {"a": 0.5, "b": 0.3, packing.NO_SOURCE: 0.2}
+    rows = [(i, "river stone cloud " * 30 + str(i), None, q) for i, q in enumerate(q for q, n in sizes.items() for _ in range(n))]
+    docs = messy.documents(spark, rows)
+    docs = docs.unionByName(docs.limit(1).withColumns({"text": F.lit("one <|endoftext|> two"), "doc_id": F.lit(10_000).cast("long"), "source": F.lit("b")}))
+    pieces = check(docs, targets)
+    left, got = Counter(), defaultdict(Counter)
+    for p in pieces:
+        left[p["source"]] += p["length"]
+        got[p["window"]][p["source"]] += p["length"]
+    assert len({packing.NO_SOURCE if q is None else q for q in left}) == 3
+    served = Counter()
+    earned = dict.fromkeys(left, Fraction(0))
+    weight = {q: Fraction(str(targets[packing.NO_SOURCE if q is None else q])) for q in left}
+    for w in range(max(got) + 1):
+        budget = Fraction(4096)
+        while budget and (active := [q for q in left if earned[q] < left[q]]):
+            total = sum(weight[q] for q in active)
+            step = min([budget, *((left[q] - earned[q]) * total / weight[q] for q in active)])
+            for q in active:
+                earned[q] += step * weight[q] / total
+            budget -= step
+        for q in left:
+            served[q] += got[w][q]
+            assert earned[q] - packing.SEQUENCE < served[q] <= earned[q]
+
+
+def test_pieces_without_ids(spark):
+    docs = messy.documents(spark)
+    key = lambda rows: Counter((r["doc_id"], r["start"], r["length"], r["ids_crc32"], r["sequence_id"], r["offset"]) for r in rows)
+    bare = packing.pack(docs, queries.tokenizer(), with_ids=False)
+    assert "ids" not in bare.columns and sum(r["length"] for r in bare.collect()) == sum(r["length"] for r in packing.pack(docs, queries.tokenizer()).collect())
+    one = messy.documents(spark, [(1, "a <|endoftext|> b " * 900, None, "s")])
+    assert key(packing.pack(one, queries.tokenizer(), with_ids=False).collect()) == key(packing.pack(one, queries.tokenizer()).collect())
+
+
 def test_ids_equal_the_library():
-    texts = messy.texts() + ["<|endoftext|>", "it's  we'll\n\n x ", "  a", "日本語テキスト", "a" * 3000, " " * 500 + "b", "\r\n\t"]
+    texts = messy.texts() + ["<|endoftext|>", "a <|endoftext|> b", "<|endoftext|><|endoftext|>x<|endoftext", " <|endoftext|>\n ",  "it's  we'll\n\n x ", "  a", "日本語テキスト", "a" * 3000, " " * 500 + "b", "\r\n\t"]
     e = packing.encoder(queries.tokenizer())
-    assert [[*e.encode_ordinary(t or ""), 0] for t in texts] == library_ids(texts)
+    assert [[*e.encode(t or ""), 0] for t in texts] == library_ids(texts)
+
+
+def test_files_of_another_form_go_to_the_library():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    e, t = packing.Encoder(path), Tokenizer.from_file(path)
+    assert all(e.encode(x) == t.encode(x, add_special_tokens=False).ids for x in ("Two Words", "a <|endoftext|> b", ""))
 
 
 def test_every_token_of_the_vocabulary_is_reached():
     """A whole piece is looked up first here; the library merges. Both must give each token for its own text."""
     e = packing.encoder(queries.tokenizer())
     texts = []
-    for i in range(e.n_vocab - 1):
+    byte_of = packing._byte_of()
+    with open(queries.tokenizer(), encoding="utf-8") as f:
+        vocabulary = json.load(f)["model"]["vocab"]
+    for token in vocabulary.keys() - e.special.keys():
         try:
-            texts.append(e.decode_single_token_bytes(i).decode())
+            texts.append(bytes(byte_of[c] for c in token).decode())
         except UnicodeDecodeError:
             continue
-    assert [[*e.encode_ordinary(t), 0] for t in texts] == library_ids(texts)
+    assert len(texts) > 40_000
+    assert [[*e.encode(t), 0] for t in texts] == library_ids(texts)

@@ -27,7 +27,7 @@ def test_brute_force(spark, small):
         if hit > 0 and 20 * hit >= n:
             kept.discard(i)
     e = packing.encoder(queries.tokenizer())
-    sizes = {i: len(e.encode_ordinary(docs[i]["text"])) + 1 for i in kept}
+    sizes = {i: len(e.encode(docs[i]["text"])) + 1 for i in kept}
     got = defaultdict(int)
     for r in corpus_pipeline.run(spark, small).collect():
         got[r["doc_id"]] += r["length"]
