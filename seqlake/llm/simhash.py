@@ -12,9 +12,14 @@ than ``BLOCK`` members are cut into blocks, and each pair of blocks is its own
 group, so no task holds more than two blocks. Components come from alternating
 large-star and small-star rounds over stored tables.
 
+The nodes are fingerprints, so an id that stands on several texts joins nothing; a
+component is named after the smallest doc_id on its rows.
+
 Defined cases: a null text counts as empty (fingerprint zero, linked like any
-other); a row with a null doc_id has a fingerprint and a null component; repeated
-rows share their fingerprint and component; an empty table gives an empty result.
+other); a row with a null doc_id links like any other, and a component without any
+doc_id has a null name; repeated rows share their fingerprint and component; one id on
+several rows is several documents; very long texts are read whole; other columns are
+ignored, whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -25,7 +30,7 @@ from itertools import accumulate
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common
@@ -205,15 +210,20 @@ def links(fps: DataFrame, bits: int = BITS) -> DataFrame:
     return pairs
 
 
+def _anew(key: str) -> Column:
+    """The key, in a form that Spark can't take for the one it was grouped by: a join then deals both sides anew and may split a hub."""
+    return F.col(key).bitwiseXOR(F.lit(0).cast("long"))
+
+
 def components(pairs: DataFrame) -> DataFrame:
     """(node, root): root is the smallest node that can be reached. Only nodes with links."""
     edges = common.stored(pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct(), "edges")
     before = None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u"))
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select(_anew("u").alias("u"), F.least("m", "u").alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        least = large.groupBy("u").agg(F.min("v").alias("m")).select(_anew("u").alias("u"), "m")
         small = large.join(least, "u").select(F.explode(F.array(F.struct("v", "m"), F.struct(F.col("u").alias("v"), "m"))).alias("e"))
         edges = common.stored(small.select(F.col("e.v").alias("u"), F.col("e.m").alias("v")).where("u <> v").distinct(), "star")
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
@@ -222,29 +232,41 @@ def components(pairs: DataFrame) -> DataFrame:
         before = now
 
 
+def _grouped(docs: DataFrame, bits: int) -> DataFrame:
+    """One row for each document: doc_id, fp, node (the same for all of a component), component_id."""
+    marked = common.stored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), fingerprints("text").alias("fp")), "fingerprints")
+    fps = common.stored(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
+    roots = components(links(fps.select("fp", F.col("fp").alias("rep")), bits))
+    placed = common.stored(fps.join(roots, fps["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("node")), "placed")
+    names = placed.groupBy("node").agg(F.min("least").alias("component_id")).select(_anew("node").alias("node"), "component_id")
+    return marked.join(placed.drop("least").join(names, "node"), "fp")
+
+
 def groups(docs: DataFrame, bits: int = BITS) -> DataFrame:
     """doc_id, fp, component_id."""
-    marked = common.stored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), fingerprints("text").alias("fp")), "fingerprints")
-    fps = common.stored(marked.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("rep")), "distinct")
-    # A doc_id may stand on several rows with different texts: their fingerprints may then share a node.
-    roots = components(links(fps, bits))
-    named = fps.join(roots, fps["rep"] == roots["node"], "left").select("fp", F.coalesce("root", "rep").alias("component"))
-    return marked.join(named, "fp", "left").select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component")).alias("component_id"))
+    return _grouped(docs, bits).select("doc_id", "fp", "component_id")
 
 
 def keep_one(docs: DataFrame, bits: int = BITS) -> DataFrame:
-    """The documents with one of each group: all columns; the smallest doc_id stays, and rows without a doc_id.
+    """The documents with one row of each group, all columns: one with the smallest doc_id (null last).
 
-    Only ids are joined and grouped; the documents themselves are dealt out once, to be rid of those that go.
-    Should the doc_id that stays be on several rows, the one whose text sorts first (null first) stays.
+    Rows whose doc_id is theirs alone are told apart by it: only ids are joined and grouped, and documents are
+    dealt out once, to be rid of those that go. Rows that share a doc_id or have none are stored with a row id,
+    and of those that could stay for a group the one with the smallest digest of its text does.
     """
-    found = common.stored(groups(docs, bits).where("doc_id is not null"), "groups")
-    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct().hint("shuffle_hash")
-    kept = docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
-    several = common.stored(found.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_several")), "several")
-    if not several.take(1):
-        return kept
-    names = docs.columns
-    one = kept.join(several, kept["doc_id"] == several["_several"], "left_semi").groupBy("doc_id").agg(F.min_by(F.struct(*(F.col(f"`{c}`") for c in names)), F.struct("text")).alias("_row"))
-    alone = kept.join(several, kept["doc_id"] == several["_several"], "left_anti")
-    return alone.unionByName(one.select(*(F.col("_row").getField(c).alias(c) for c in names)))
+    found = common.stored(_grouped(docs, bits), "groups")
+    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone"))
+    shared = common.stored(found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 or doc_id is null").select(F.col("doc_id").alias("_gone")), "shared")
+    if not shared.take(1):
+        return docs.join(gone.distinct().hint("shuffle_hash"), docs["doc_id"] == gone["_gone"], "left_anti")
+    # A null doc_id equals nothing in a join, so its rows are taken out by themselves.
+    names, known = docs.columns, docs.where(F.col("doc_id").isNotNull())
+    leaves = gone.unionByName(shared.where("_gone is not null")).distinct().hint("shuffle_hash")
+    alone = known.join(leaves, known["doc_id"] == leaves["_gone"], "left_anti")
+    alike = known.join(shared, known["doc_id"] == shared["_gone"], "left_semi").unionByName(docs.where(F.col("doc_id").isNull()))
+    row = F.struct(*(F.col(f"`{c}`") for c in names))
+    rows = common.stored(common.row_numbered(alike.select(row.alias("row"), fingerprints("text").alias("fp")), "rid"), "alike")
+    thin = rows.select("rid", F.col("row.doc_id").cast("long").alias("doc_id"), "fp", F.sha2(F.col("row.text").cast("binary"), 256).alias("sha"))
+    first = thin.join(found.select("fp", "node", "component_id").distinct(), "fp").where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    stays = first.groupBy("node").agg(F.min(F.struct("sha", "rid")).alias("best")).select(F.col("best.rid").alias("rid"))
+    return alone.unionByName(rows.join(stays, "rid", "left_semi").select(*(F.col("row").getField(c).alias(c) for c in names)))

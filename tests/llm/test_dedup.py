@@ -1,7 +1,7 @@
 """Exact and near de-duplication against brute force."""
 
 import random
-from collections import defaultdict
+from collections import Counter, defaultdict
 from hashlib import sha256
 
 import numpy as np
@@ -12,6 +12,8 @@ from seqlake.llm.common import table
 
 from . import messy
 
+#: Stands for no id, after all ids and fingerprints.
+NO_ID = 1 << 80
 FOLD = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
@@ -65,10 +67,10 @@ def brute_fingerprint(text):
 
 
 def brute_components(pairs, bits=4):
-    """pairs: (doc_id, fingerprint)."""
+    """pairs: (doc_id, fingerprint); a null doc_id names no component."""
     of = {}
     for i, f in pairs:
-        of[f] = min(i, of.get(f, i))
+        of[f] = min(NO_ID if i is None else i, of.get(f, NO_ID))
     fps = list(of)
     arr = np.array(fps, np.uint64)
     root = {f: f for f in fps}
@@ -83,7 +85,7 @@ def brute_components(pairs, bits=4):
             a, b = find(f), find(fps[j])
             if a != b:
                 root[b] = a
-    least = defaultdict(lambda: 1 << 62)
+    least = defaultdict(lambda: NO_ID)
     for f in fps:
         least[find(f)] = min(least[find(f)], of[f])
     return {f: least[find(f)] for f in fps}
@@ -95,14 +97,13 @@ def check_near(docs):
     assert len(out) == len(rows)
     fps = {t: brute_fingerprint(t) for t in {r["text"] for r in rows}}
     assert sorted((str(r["doc_id"]), r["fp"] % (1 << 64)) for r in out) == sorted((str(r["doc_id"]), fps[r["text"]]) for r in rows)
-    want = brute_components([(r["doc_id"], fps[r["text"]]) for r in rows if r["doc_id"] is not None])
+    want = brute_components([(r["doc_id"], fps[r["text"]]) for r in rows])
     for r in out:
-        assert r["component_id"] == (None if r["doc_id"] is None else want[r["fp"] % (1 << 64)])
+        assert (NO_ID if r["component_id"] is None else r["component_id"]) == want[r["fp"] % (1 << 64)]
 
 
 def test_near_messy(spark):
-    rows = [r for r in messy.documents(spark).collect() if r["doc_id"] != 3]  # the same id on two texts joins their groups
-    check_near(messy.documents(spark, [(r["doc_id"], r["text"], r["lang"], r["source"]) for r in rows]))
+    check_near(messy.documents(spark))
     assert simhash.groups(messy.nothing(spark)).count() == 0
 
 
@@ -176,17 +177,43 @@ def test_long_chain(spark):
     assert {r["node"]: r["root"] for r in simhash.components(pairs).collect()} == {**{i: 0 for i in range(1, 41)}, 101: 100}
 
 
-def test_near_keep_one(spark):
-    docs = messy.documents(spark)
+UNLIKE = ["the quiet river bends past the old stone mill at dusk", "seven lamps were lit along the harbour wall before dawn", "nobody had counted the swallows since the winter storms", "a ledger of grain and salt lay open on the table"]
+
+
+def check_kept(docs):
+    """One row of each component, with its smallest id; nothing else goes."""
+    rows = docs.collect()
     out = simhash.keep_one(docs)
     assert out.columns == docs.columns
-    ids = [r["doc_id"] for r in out.collect()]
-    comps = {r["component_id"] for r in simhash.groups(docs).collect() if r["doc_id"] is not None}
-    assert sorted(i for i in ids if i is not None) == sorted(comps)
-    assert ids.count(None) == 3
+    want = brute_components([(r["doc_id"], brute_fingerprint(r["text"])) for r in rows])
+    kept = [(NO_ID if r["doc_id"] is None else r["doc_id"], brute_fingerprint(r["text"])) for r in out.collect()]
+    assert sorted(i for i, _ in kept) == sorted(want[f] for _, f in kept)
+    roots = brute_roots(want.keys())
+    assert Counter(roots[f] for _, f in kept) == Counter(set(roots.values()))
+    assert Counter(map(tuple, out.collect())) <= Counter(map(tuple, rows))
+
+
+def brute_roots(fps):
+    """The smallest fingerprint of each one's component."""
+    return brute_components([(f, f) for f in fps])
+
+
+def test_near_keep_one(spark):
+    check_kept(messy.documents(spark))
     assert simhash.keep_one(messy.nothing(spark)).count() == 0
 
 
+def test_one_id_on_several_texts(spark):
+    """(1, A), (3, A), (3, B): B is unlike A and stays; ids and rows that repeat in every way."""
+    a, b, c, d = UNLIKE
+    assert len(set(brute_roots([brute_fingerprint(t) for t in UNLIKE]).values())) == 4
+    for rows in (
+        [(1, a), (3, a), (3, b)], [(1, a), (1, b), (2, b), (2, c)], [(3, a), (3, a), (3, b), (3, b), (4, b)], [(None, a), (None, b), (5, a), (None, a), (None, d)],
+        [(7, a), (7, a)], [(None, a)], [(1, a), (2, b), (2, a), (1, b)], [(9, None), (9, ""), (9, d), (8, " ")],
+    ):
+        check_kept(messy.documents(spark, [(i, t, None, None) for i, t in rows]))
+
+
 def test_query_shape(spark, small):
     out = queries.op7_simhash(spark, small)
     assert out.columns == ["doc_id", "fingerprint", "component_id"]
