@@ -5,10 +5,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans import ranges
+from ..plans.materialise import stored
 
 LEVELS = 7
 L0_COMPACTION, L0_SLOWDOWN, L0_STOP = 4, 8, 12
@@ -117,24 +120,87 @@ def read_counts(keys: DataFrame, files: DataFrame) -> DataFrame:
     return counted.select("k", (F.col("b") - F.col("e") + F.coalesce("n", F.lit(0))).cast("long").alias("candidates"))
 
 
-def overlaps(files: DataFrame, cells: int = 64) -> DataFrame:
+def overlaps(files: DataFrame) -> DataFrame:
     """a, b: numbers of files whose ranges meet, a < b.
 
-    Files join on the cells of a coarse grid of keys that they touch; a pair counts in
-    the first cell that both touch."""
-    grid = files.select("smallest").distinct().orderBy(F.xxhash64("smallest")).limit(cells).agg(F.array_sort(F.collect_list("smallest")).alias("g")).first()["g"]
-    if not grid:
-        return files.select(F.col("number").alias("a"), F.col("number").alias("b"))
-    marks = F.array(*(F.lit(bytes(g) if not isinstance(g, str) else g) for g in grid))
-    cell = lambda c: F.size(F.filter(marks, lambda m: m <= F.col(c)))
-    placed = files.select("number", "smallest", "largest", cell("smallest").alias("lo"), cell("largest").alias("hi"))
-    spread = placed.withColumn("cell", F.explode(F.sequence("lo", "hi")))
-    a, b = spread.alias("a"), spread.alias("b")
-    pairs = a.join(b, F.col("a.cell") == F.col("b.cell")).where(
-        (F.col("a.number") < F.col("b.number")) & (F.col("a.smallest") <= F.col("b.largest")) & (F.col("b.smallest") <= F.col("a.largest"))
-        & (F.col("a.cell") == F.greatest("a.lo", "b.lo"))
-    )
-    return pairs.select(F.col("a.number").alias("a"), F.col("b.number").alias("b"))
+    In the order of smallest keys, the files that begin inside a file's range are the ones that follow it,
+    up to a place that one ordered pass tells: each file joins these places, so only true pairs are made."""
+    placed = stored(ranges.ranked(files.select("number", "smallest", "largest"), [F.col("smallest"), F.col("number")], "pos"), "placed")
+    begun = placed.select(F.col("smallest").alias("k"), F.lit(1).alias("one"))
+    ended = placed.select(F.col("largest").alias("k"), F.lit(0).alias("one"), "number", "pos")
+    reach = ranges.carried(begun.unionByName(ended, allowMissingColumns=True), "k", {"last": F.col("one")}, how="sum").where("number is not null and last > pos")
+    pairs = reach.select(F.col("number").alias("x"), F.explode(F.expr("sequence(pos + 1, last)")).alias("pos")).join(placed.select("pos", F.col("number").alias("y")), "pos")
+    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+
+
+def _passed(points: DataFrame, at: str, marks: DataFrame, mark: str, own: bool, sums: dict[str, Column]) -> DataFrame:
+    """points with the sums of ``marks`` whose key lies before theirs (``own``: or is the same)."""
+    place = lambda key, side: F.struct(F.col(key).alias("k"), F.lit(side).alias("side")).alias("_o")
+    asked = points.select(place(at, int(own)), F.struct(*points.columns).alias("_p"))
+    given = marks.select(place(mark, int(not own)), *(e.cast("long").alias(n) for n, e in sums.items()))
+    both = ranges.carried(given.unionByName(asked, allowMissingColumns=True), "_o", {f"_{n}": F.coalesce(F.col(n), F.lit(0)) for n in sums}, how="sum")
+    return both.where("_p is not null").select("_p.*", *(F.col(f"_{n}").alias(n) for n in sums))
+
+
+def meeting(spans: DataFrame, files: DataFrame, sums: dict[str, Column]) -> DataFrame:
+    """spans: id, lo, hi (both included). Adds sums over the files whose ranges meet each span: those begun up to its
+    end less those ended before it, from two ordered passes."""
+    begun = _passed(spans, "hi", files, "smallest", True, sums)
+    ended = _passed(spans.select("id", "lo"), "lo", files, "largest", False, sums).select("id", *(F.col(n).alias(f"_e_{n}") for n in sums))
+    return begun.join(ended, "id").select("id", "lo", "hi", *((F.col(n) - F.col(f"_e_{n}")).alias(n) for n in sums))
+
+
+def beside(keys: DataFrame, files: DataFrame) -> DataFrame:
+    """k, before, after: how many files end before a key, and how many begin after it."""
+    total = files.count()
+    begun = _passed(keys.select("k").distinct(), "k", files, "smallest", True, {"begun": F.lit(1)})
+    return _passed(begun, "k", files, "largest", False, {"before": F.lit(1)}).select("k", "before", (F.lit(total) - F.col("begun")).alias("after"))
+
+
+def level_ranges(files: DataFrame) -> DataFrame:
+    return files.groupBy("level").agg(F.min("smallest").alias("smallest"), F.max("largest").alias("largest"))
+
+
+def flush_level(at0, at1, at2, bytes2, bytes3, file_bytes: int = FILE_BYTES):
+    """How deep a new run may go: level 2 at most, above whatever it meets, and with little below. Columns: what a run meets."""
+    most = OVERLAP_FACTOR * file_bytes
+    return F.when((at0 > 0) | (at1 > 0) | (bytes2 > most), 0).when((at2 > 0) | (bytes3 > most), 1).otherwise(DEEPEST_FLUSH)
+
+
+def placements(spans: DataFrame, files: DataFrame, file_bytes: int = FILE_BYTES) -> DataFrame:
+    """spans: id, lo, hi. id, level: where a run of each key range would be put."""
+    here = lambda n: (F.col("level") == n).cast("long")
+    met = meeting(spans, files, {"n0": here(0), "n1": here(1), "n2": here(2), "b2": here(2) * F.col("file_size"), "b3": here(3) * F.col("file_size")})
+    return met.select("id", flush_level(F.col("n0"), F.col("n1"), F.col("n2"), F.col("b2"), F.col("b3"), file_bytes).alias("level"))
+
+
+def next_after(files: DataFrame, level: int, pointer: bytes) -> DataFrame:
+    """The file to compact next: the first that begins after the pointer, else the first of the level."""
+    return files.where(F.col("level") == level).orderBy(F.col("smallest") <= F.lit(pointer), "smallest", "number").limit(1)
+
+
+def taking_part(files: DataFrame, level: int, chosen: DataFrame) -> DataFrame:
+    """role (chosen, below, above), number: all files that a compaction of ``chosen`` reads, or must mind two levels down."""
+    low, high = chosen.agg(F.min("smallest"), F.max("largest")).first()
+    below = overlapping(files.where(F.col("level") == level + 1), low, high)
+    span = chosen.select("smallest", "largest").unionByName(below.select("smallest", "largest")).agg(F.min("smallest"), F.max("largest")).first()
+    above = overlapping(files.where(F.col("level") == level + 2), *span) if low is not None else files.where(F.lit(False))
+    return reduce(DataFrame.unionByName, [f.select(F.lit(role).alias("role"), "number") for role, f in (("chosen", chosen), ("below", below), ("above", above))])
+
+
+def moves(files: DataFrame, file_bytes: int = FILE_BYTES) -> DataFrame:
+    """number, is_trivial: whether a file may change its level as it is (in level 0: if it meets no other there)."""
+    spans = files.select(F.col("number").alias("id"), F.col("smallest").alias("lo"), F.col("largest").alias("hi"))
+    sums = {f"n{x}": (F.col("level") == x).cast("long") for x in range(LEVELS)} | {f"b{x}": F.when(F.col("level") == x, F.col("file_size")).otherwise(0) for x in range(LEVELS)}
+    met = meeting(spans, files, sums).join(files.select(F.col("number").alias("id"), "level"), "id")
+    of = lambda what, down: F.coalesce(F.get(F.array(*(f"{what}{x}" for x in range(LEVELS))), F.col("level") + down), F.lit(0))
+    alone = (F.col("level") > 0) | (F.col("n0") == 1)
+    return met.select(F.col("id").alias("number"), (alone & (of("n", 1) == 0) & (of("b", 2) <= OVERLAP_FACTOR * file_bytes)).alias("is_trivial"))
+
+
+def snapshot_bounds(snapshots: DataFrame, last_sequence: int) -> DataFrame:
+    """oldest, newest: of the snapshots that are held; without any, the last sequence."""
+    return snapshots.agg(*(F.coalesce(f("sequence"), F.lit(last_sequence)).alias(n) for f, n in ((F.min, "oldest"), (F.max, "newest"))))
 
 
 def seek_budgets(files: DataFrame) -> DataFrame:

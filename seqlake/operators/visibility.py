@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans import ranges
+
 LATEST = (1 << 56) - 1
 VALUE, DELETION = 1, 0
 
@@ -39,9 +41,14 @@ def lookup(log: DataFrame, keys: DataFrame, sequence: int = LATEST) -> DataFrame
 def as_of(log: DataFrame, probes: DataFrame) -> DataFrame:
     """probes: id, k, at. id, k, at, v: the value of k at sequence ``at``, null if none: one pass for many snapshots.
 
-    Probes join the log on the key and keep versions up to their sequence; the newest is a partial aggregate."""
-    hit = probes.join(log, "k").where(F.col("seq") <= F.col("at")).groupBy("id").agg(F.max_by(F.struct("op", "v"), "seq").alias("_best"))
-    return probes.join(hit, "id", "left").select("id", "k", "at", F.when(F.col("_best.op") == VALUE, F.col("_best.v")).alias("v"))
+    Versions and probes lie in one order of (key, sequence), cut into ranges that may part a hot key; the newest
+    version so far is carried along, so that a key with many of both costs their sum and not their product."""
+    version = F.struct("k", "seq", "op", "v")
+    marks = log.select(F.struct("k", "seq", F.lit(0).alias("side")).alias("o"), version.alias("x"))
+    asked = probes.select(F.struct("k", F.col("at").cast("long").alias("seq"), F.lit(1).alias("side")).alias("o"), F.struct("id", "k", "at").alias("p"))
+    passed = ranges.carried(marks.unionByName(asked, allowMissingColumns=True), "o", {"last": F.col("x")}).where("p is not null")
+    here = (F.col("last.k") == F.col("p.k")) & (F.col("last.op") == VALUE)
+    return passed.select("p.id", "p.k", "p.at", F.when(here, F.col("last.v")).alias("v"))
 
 
 def difference(log: DataFrame, earlier: int, later: int = LATEST) -> DataFrame:

@@ -3,7 +3,10 @@
 Rows are dealt by key range and stored with their partition's number. Windows then
 run inside each range; what must cross ranges (counts, first and last keys, running
 extremes) is one summary row for each range, carried over by a window over these few
-rows and joined back by broadcast. The number of ranges is that of shuffle partitions.
+rows and joined back by broadcast. There are as many ranges as shuffle partitions: the number is
+given, as adaptive execution would else merge small ranges into one. Running aggregates
+always go up to the current row, from the last key if backward, as Spark keeps those
+up to date row by row but computes frames that begin at the current row anew for each.
 """
 
 from __future__ import annotations
@@ -19,7 +22,8 @@ PART = "_part"
 
 def ranged(df: DataFrame, *order: str | Column) -> DataFrame:
     """The rows, stored, with the number of the key range that they lie in."""
-    return stored(df.repartitionByRange(*order).withColumn(PART, F.spark_partition_id()), "ranged")
+    number = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return stored(df.repartitionByRange(number, *order).withColumn(PART, F.spark_partition_id()), "ranged")
 
 
 def _ranges(parts: DataFrame, *summary: Column) -> DataFrame:
@@ -57,12 +61,11 @@ def carried(df: DataFrame, key: str, out: dict[str, Column], forward: bool = Tru
     """
     agg = getattr(F, how)
     parts = ranged(df.withColumns({f"_in_{n}": e for n, e in out.items()}), key)
-    ends = (W.unboundedPreceding, W.currentRow) if forward else (W.currentRow, W.unboundedFollowing)
-    rest = (W.unboundedPreceding, -1) if forward else (1, W.unboundedFollowing)
-    over = W.orderBy(PART).rowsBetween(*rest)
+    along = (lambda c: F.col(c).asc()) if forward else (lambda c: F.col(c).desc())
+    over = W.orderBy(along(PART)).rowsBetween(W.unboundedPreceding, -1)
     sums = _ranges(parts, *(agg(f"_in_{n}").alias(f"_all_{n}") for n in out))
     sums = sums.select(PART, *(agg(f"_all_{n}").over(over).alias(f"_far_{n}") for n in out))
-    inside = W.partitionBy(PART).orderBy(key).rangeBetween(*ends)
+    inside = W.partitionBy(PART).orderBy(along(key)).rangeBetween(W.unboundedPreceding, W.currentRow)
     joined = parts.join(F.broadcast(sums), PART)
     pick = {"max": F.greatest, "min": F.least, "sum": lambda a, b: F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0))}[how]
     joined = joined.withColumns({n: pick(agg(f"_in_{n}").over(inside), F.col(f"_far_{n}")) for n in out})

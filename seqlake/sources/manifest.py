@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import json
 from dataclasses import asdict, dataclass, field, replace
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -158,3 +159,23 @@ def scalars(edits: DataFrame) -> DataFrame:
 def obsolete(present: DataFrame, live_files: DataFrame, pending: DataFrame) -> DataFrame:
     """Numbers in the directory that are neither live nor being written."""
     return present.join(live_files.select("number"), "number", "left_anti").join(pending.select("number"), "number", "left_anti")
+
+
+ACTIONS = "array<struct<action: string, level: int, number: bigint>>"
+
+
+def encoded(edits: DataFrame) -> DataFrame:
+    """edits: edit_id, action, level, number. edit_id, text: each edit as one line of JSON."""
+    return edits.groupBy("edit_id").agg(F.to_json(F.sort_array(F.collect_list(F.struct("action", "level", "number")))).alias("text"))
+
+
+def decoded(rows: DataFrame) -> DataFrame:
+    """The edits again. A text that can't be read, an unknown action or a level that does not exist is an error."""
+    read = rows.select("edit_id", F.explode(F.from_json("text", ACTIONS, {"mode": "FAILFAST"})).alias("x")).select("edit_id", "x.*")
+    known = F.col("action").isin("add", "remove") & F.col("level").between(0, LEVELS - 1)
+    return read.withColumn("level", F.when(known, F.col("level")).otherwise(F.raise_error(F.concat(F.lit("corruption: an edit names "), F.to_json(F.struct("action", "level"))))))
+
+
+def held(edits: DataFrame, versions: list[int]) -> DataFrame:
+    """level, number: the files that any of the given versions (edit ids) needs."""
+    return reduce(DataFrame.unionByName, [live(edits.where(F.col("edit_id") <= v)) for v in versions]).distinct()

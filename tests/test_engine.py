@@ -240,7 +240,7 @@ def test_islands_and_overlaps_are_brute_force(spark):
             spans.append((0, i, 1, b"%03d" % a, b"%03d" % (a + rng.randint(0, 12))))
         files = spark.createDataFrame(spans, "level int, number long, file_size long, smallest binary, largest binary")
         want = {(x[1], y[1]) for x in spans for y in spans if x[1] < y[1] and x[3] <= y[4] and y[3] <= x[4]}
-        assert {(r["a"], r["b"]) for r in compaction.overlaps(files, cells=5).collect()} == want
+        assert {(r["a"], r["b"]) for r in compaction.overlaps(files).collect()} == want
         low, high = b"100", b"110"
         chosen = {s[1] for s in spans if s[4] >= low and s[3] <= high}
         while True:
