@@ -1,4 +1,9 @@
-"""A corpus pipeline: each stage works on all that the stage before it kept."""
+"""A corpus pipeline: each stage works on all that the stage before it kept.
+
+Each stage but the last returns the columns it got, in their order; nulls, empty and very
+long texts, ties, repeated rows and clashing column names are treated as its operator says,
+and an empty table gives an empty one. Quality without labels of both classes keeps all.
+"""
 
 from __future__ import annotations
 
@@ -7,6 +12,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from seqlake.llm import common, decontaminate, exact_dedup, packing, quality, queries, simhash
+from seqlake.plans import materialise
 
 
 def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,9 +47,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = common.table(spark, sf_dir, "documents")
+    """Each stage's table, and what it stored on the way, goes as soon as the next one has been written."""
+    docs, before = common.table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        path = f"{common.shared_dir(spark)}/{name}-{uuid.uuid4().hex[:8]}"
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        path = f"{materialise.shared_dir(spark)}/{name}-{uuid.uuid4().hex[:8]}"
+        with materialise.scope(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
+        if before:
+            materialise.remove(spark, before)
+        docs, before = spark.read.parquet(path), path
     return docs

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ..plans import ranges
 
+#: The cap on a group of batches, and the size up to which a first batch caps it at its own size and as much again.
+GROUP_BYTES, SMALL_BYTES = 1 << 20, 128 << 10
 RECORDS = "array<struct<op: tinyint, k: binary, v: binary>>"
 
 
@@ -22,7 +24,7 @@ def sequenced(records: DataFrame, order: list, last: int) -> DataFrame:
     return ranges.ranked(records, order, "seq", first=last + 1)
 
 
-def grouped(batches: DataFrame, most_bytes: int = 1 << 20, small: int = 128 << 10):
+def grouped(batches: DataFrame, most_bytes: int = GROUP_BYTES, small: int = SMALL_BYTES):
     """Group commit as arithmetic: the cap on a group that the given first batch leads, by its size."""
     size = F.col("bytes")
     return batches.withColumn("cap", F.when(size <= small, size + small).otherwise(F.lit(most_bytes)))

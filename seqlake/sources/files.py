@@ -8,10 +8,13 @@ from ..errors import IoError
 
 
 class Files:
-    def __init__(self, spark: SparkSession, root: str):
+    def __init__(self, spark: SparkSession, root: str, raw: bool = False):
+        """raw: without the checksum files beside local ones, which are not replaced in one step with what they check."""
         self.spark, self.root = spark, root.rstrip("/")
         self._jvm = spark.sparkContext._jvm
         self._fs = self._path("").getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        if raw and self._fs.getClass().getName() == "org.apache.hadoop.fs.LocalFileSystem":
+            self._fs = self._fs.getRaw()
 
     def _path(self, name: str):
         return self._jvm.org.apache.hadoop.fs.Path(self.path(name))
@@ -31,8 +34,8 @@ class Files:
         finally:
             stream.close()
 
-    def write(self, name: str, text: str, overwrite: bool = False) -> bool:
-        """False if the file is there and may not be overwritten."""
+    def write(self, name: str, text: str, overwrite: bool = False, sync: bool = False) -> bool:
+        """False if the file is there and may not be overwritten. sync: the bytes are on disk when this returns."""
         try:
             out = self._fs.create(self._path(name), overwrite)
         except Exception as e:
@@ -40,14 +43,16 @@ class Files:
                 return False
             raise IoError(f"cannot write {self.path(name)}") from e
         out.write(bytearray(text.encode()))
+        if sync:
+            out.hsync()
         out.close()
         return True
 
-    def replace(self, name: str, text: str) -> None:
+    def replace(self, name: str, text: str, sync: bool = False) -> None:
         """Readers see the old text or the new one."""
-        self.write(f"{name}.tmp", text, overwrite=True)
+        self.write(f"{name}.tmp", text, overwrite=True, sync=sync)
         jvm = self._jvm
-        context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._fs.getUri(), self.spark.sparkContext._jsc.hadoopConfiguration())
+        context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._path("").toUri(), self.spark.sparkContext._jsc.hadoopConfiguration())
         option = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
         array = self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
         array[0] = option
@@ -68,3 +73,12 @@ class Files:
 
     def remove(self, name: str) -> None:
         self._fs.delete(self._path(name), True)
+
+    def take(self, old: str, new: str) -> bool:
+        """Renames; False if another was faster. Of several takers of a file one succeeds."""
+        try:
+            return bool(self._fs.rename(self._path(old), self._path(new)))
+        except Exception:  # some file systems raise where others return false
+            if self.exists(old):
+                raise
+            return False

@@ -111,8 +111,11 @@ class Version:
 
 
 class Manifest:
+    #: So many commits from one whole state to the next, which bounds a replay.
+    WHOLE_EVERY = 100
+
     def __init__(self, files: Files):
-        self.files = files
+        self.files, self.base = files, 0
 
     def name(self, edit_id: int) -> str:
         return f"manifest/{edit_id:06d}.json"
@@ -136,12 +139,22 @@ class Manifest:
             version = version.after(edit, at)
         return version
 
-    def commit(self, version: Version, edit: Edit) -> Version:
+    def commit(self, version: Version, edit: Edit, sync: bool = False) -> Version:
         new = version.after(edit, version.id + 1)
-        self.files.write(self.name(new.id), edit.encoded(), overwrite=True)
-        self.files.replace("CURRENT", f"{new.id}\n")
+        if new.id % self.WHOLE_EVERY == 0:
+            edit = new.whole()
+        self.files.write(self.name(new.id), edit.encoded(), overwrite=True, sync=sync)
+        self.files.replace("CURRENT", f"{new.id}\n", sync=sync)
+        if edit.base:
+            self.base = new.id
         return new
 
+    def prune(self) -> None:
+        """Removes the edits before the last whole state: no replay needs them."""
+        for name in self.files.list("manifest"):
+            if name.removesuffix(".json").isdigit() and int(name.removesuffix(".json")) < self.base:
+                self.files.remove(f"manifest/{name}")
+
 
 def live(edits: DataFrame) -> DataFrame:
     """edits: edit_id, action (add or remove), level, number. The (level, number) that are live after all of them.

@@ -24,7 +24,11 @@ def write(files: Files, rows: DataFrame, name: str, n_files: int, level: int, nu
     return [RunFile(level, number + i, f"{name}/{r['file']}", files.size(f"{name}/{r['file']}"), r["n"], r["lo"], r["hi"], r["a"], r["b"]) for i, r in enumerate(facts)]
 
 
-def read(spark: SparkSession, paths: list[str]) -> DataFrame:
+def read(spark: SparkSession, paths: list[str], verify: bool = False) -> DataFrame:
+    """verify: pages whose checksum is wrong are an error."""
     if not paths:
         return spark.createDataFrame([], SCHEMA)
-    return spark.read.schema(SCHEMA).parquet(*paths)
+    reader = spark.read.schema(SCHEMA)
+    if verify:
+        reader = reader.option("parquet.page.verify-checksum.enabled", "true")
+    return reader.parquet(*paths)

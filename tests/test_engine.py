@@ -202,7 +202,7 @@ def test_writes_stop_for_a_full_level_0(spark, tmp_path, monkeypatch):
 
 def test_maintenance(spark, tmp_path):
     """Overlapping flushes pile up in level 0; maintenance moves them; pinned files outlive it, obsolete ones do not."""
-    with Database.open(spark, f"file://{tmp_path}/db", NEW) as db:
+    with Database.open(spark, f"file://{tmp_path}/db", Options(create_if_missing=True, retain_seconds=0)) as db:
         for i in range(4):
             db.write(WriteBatch().put(b"a", b"%d" % i).put(b"z", b"%d" % i))
             db.flush()
@@ -307,3 +307,126 @@ def test_a_failed_write_is_sticky(spark, tmp_path, monkeypatch):
             db.put(b"c", b"3")
         assert pairs(db.scan()) == [("a", "1")]
         assert isinstance(db.snapshot(), Snapshot)
+
+
+KILLED = """
+import os, signal, sys
+sys.path.insert(0, {root!r})
+from pyspark.sql import SparkSession
+from seqlake.db import Database, Options
+spark = SparkSession.builder.master("local[1]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "1").getOrCreate()
+db = Database.open(spark, {path!r}, Options(create_if_missing=True))
+db.put(b"a", b"1")
+db.put(b"b", b"2")
+db.files.write("log/000099/part-0.parquet", "torn")
+os.kill(os.getpid(), signal.SIGKILL)
+"""
+
+
+def test_a_killed_writer_locks_no_one_out(spark, tmp_path):
+    import os
+    import subprocess
+    import sys
+
+    path = f"file://{tmp_path}/db"
+    code = KILLED.format(root=os.path.dirname(os.path.dirname(os.path.abspath(__file__))), path=path)
+    done = subprocess.run([sys.executable, "-c", code], capture_output=True, timeout=120)
+    assert done.returncode == -9
+    with Database.open(spark, path, Options(retain_seconds=0)) as db:
+        assert pairs(db.scan()) == [("a", "1"), ("b", "2")]
+        assert not db.files.exists("log/000099")
+        db.put(b"c", b"3")
+    assert not db.files.exists("LOCK")
+
+
+def test_a_lease_runs_out_and_is_fenced(spark, tmp_path):
+    path = f"file://{tmp_path}/db"
+    first = Database.open(spark, path, Options(create_if_missing=True, lease_seconds=0.5))
+    first.put(b"a", b"1")
+    first.lock._gone.set()  # as if its machine had stopped
+    import time
+
+    time.sleep(1.2)
+    with Database.open(spark, path) as second:
+        with pytest.raises(IoError):
+            first.put(b"a", b"lost")
+        assert pairs(second.scan()) == [("a", "1")]
+    first.close()
+
+
+def test_readers_outlive_maintenance(spark, tmp_path):
+    path = f"file://{tmp_path}/db"
+    with Database.open(spark, path, NEW) as db:
+        db.put(b"a", b"1")
+        planned = db.scan()
+        db.flush()
+        db.compact_range()
+        assert pairs(planned) == [("a", "1")]  # planned before, run after
+    with Database.open(spark, path, Options(retain_seconds=0)) as db:
+        other = Database.reader(spark, path)
+        db.put(b"a", b"2")
+        db.flush()
+        db.compact_range()
+        assert pairs(other.scan()) == [("a", "1")] and other.get(b"a", verify=True) == b"1"
+        with pytest.raises(IoError):
+            other.put(b"x", b"y")
+        other.close()
+        assert db.vacuum() and pairs(db.scan()) == [("a", "2")]
+        db.manifest.WHOLE_EVERY = 1
+        db.put(b"b", b"3")
+        db.vacuum()
+        assert db.files.list("manifest") == [f"{db.version.id:06d}.json"]
+    with Database.open(spark, path) as db:
+        assert pairs(db.scan()) == [("a", "2"), ("b", "3")]
+
+
+def test_waiting_writers_join_a_group(spark, tmp_path):
+    import threading
+
+    with Database.open(spark, f"file://{tmp_path}/db", NEW) as db:
+        commits, plain = [], db._append
+        started, go = threading.Event(), threading.Event()
+
+        def slow(rows, n, stream=None, sync=False):
+            commits.append((n, sync))
+            if len(commits) == 1:
+                started.set()
+                go.wait(30)
+            plain(rows, n, stream, sync)
+
+        db._append = slow
+        threads = [threading.Thread(target=db.write, args=(WriteBatch().put(b"k%d" % i, b"v"),), kwargs={"sync": i == 5}) for i in range(6)]
+        threads[0].start()
+        started.wait(30)
+        for i, t in enumerate(threads[1:], 1):
+            t.start()
+            while len(db._queue) <= i:
+                pass
+        go.set()
+        for t in threads:
+            t.join(60)
+        assert commits == [(1, False), (4, False), (1, True)]  # the synced one joins no group that is not
+        assert db.version.last_sequence == 6 and db.scan().count() == 6
+
+
+def test_spent_seeks_are_compacted(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(compaction, "LEAST_SEEKS", 3)
+    monkeypatch.setattr(compaction, "SEEK_BYTES", 1 << 30)
+    with Database.open(spark, f"file://{tmp_path}/db", NEW) as db:
+        for i in range(2):
+            db.write(WriteBatch().put(b"a", b"%d" % i).put(b"z", b"%d" % i))
+            db.flush()
+        files = len(db.version.files)
+        assert files == 2 and db.pick() is None
+        for _ in range(3):
+            assert db.get(b"a") == b"1"
+        level, chosen = db.pick()
+        assert db.seek_file in chosen and level == db.seek_file.level
+        db.maintain()
+        assert db.pick() is None and len(db.version.files) < files and db.get(b"z") == b"1"
+
+
+def test_a_full_log_is_flushed(spark, tmp_path):
+    with Database.open(spark, f"file://{tmp_path}/db", Options(create_if_missing=True, write_buffer_size=1)) as db:
+        db.put(b"a", bytes(random.Random(1).randbytes(100_000)))
+        assert not db.version.logs and db.version.files and db.newest() == db.oldest() == 1
