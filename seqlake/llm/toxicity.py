@@ -1,32 +1,41 @@
 """Toxicity from class-conditional Kneser-Ney models.
 
-Two models, one of toxic and one of ordinary labelled documents, predict words. The
-top order is the word itself, discounted; below it a word is spelt by its class's
-character model of orders 5 and 4, from up to four letters before each letter; below
-that, both classes share one Kneser-Ney distribution whose continuation counts come
-from all documents. What one class has seldom seen is so judged by the same shared
-counts as in the other, and the ratio stays near one. A document is compared by its
-length-normalised log-likelihood ratio over all of its text and by its most telling
-words; a logistic curve fitted on a fold that the counts leave out turns both into a
-score.
-
-Bytes are folded to 32 signs (a to z, five for other letters, one for all that
-separates words), so an order-5 table has 2**25 cells at most, and words share
-2**WORD_BITS cells of which only those counted at least ``TOXIC_CUTOFF`` times in
-toxic or ``ORDINARY_CUTOFF`` in ordinary documents are kept (a count cutoff; rarer
-words are spelt): that bounds what is gathered and broadcast. Labels come from a
-sample of at most ``MOST_LABELS`` documents of each class (all of them below that);
-the curve weighs each by how many of its class it stands for, so that the base rate is
-that of all labels. The shared counts cover every document and whole texts.
+Two models, one of toxic and one of ordinary labelled documents, predict each word from
+the one before it. The top order are pairs of words: discounted counts of the class,
+backed by discounted counts of the same pairs in all documents, backed by the word
+itself. A word is spelt letter by letter, its end included, each from up to ORDER - 1
+signs before it back to the word's begin: discounted counts of the class, backed by
+those of all documents, backed by one Kneser-Ney distribution of orders LOW to 1 whose
+continuation counts are the words (of all documents) that a run of signs occurs in. What
+one class has seldom seen is so judged by the same shared counts as in the other, and
+the ratio stays near one; no expression is cut off for being rare.
+
+A document is compared by its length-normalised log-likelihoods under both models: over
+all of its words, and over the TELLING most telling of them; a logistic curve fitted on
+a fold that the counts leave out turns these differences into a score.
+
+Where neither class has seen a sign after its context, or a word after another, the
+shared probabilities cancel, so a worker needs only the log ratios of what the labelled
+sample holds. The sample, MOST_LABELS documents of a class at most (drawn by the hash of
+their ids), bounds what is gathered and broadcast; the curve weighs its rows by how many
+of their class they stand for. The words of all documents, whole texts, are counted in a
+distributed table, which grows with them.
+
+Counts are of documents: what one document repeats counts once, as does a word among
+its most telling ones. Words are runs of letters and marks, lower-cased, by code point; words, pairs and runs
+of signs are keyed by 64-bit hashes.
 
 Defined cases: null and empty texts have no evidence and a score from the curve's
 value for none; a doc_id with several labels takes their majority (ties: 0); a null
-label is no label; without learning rows of both classes every score is 0; repeated
-rows are counted and scored as often as they occur; other columns are ignored.
+label is no label; without learning rows of both classes every score is 0; very long
+texts are read whole; repeated rows are counted and scored as often as they occur; other
+columns are ignored, whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import functools
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,137 +48,187 @@ from . import common, quality
 
 FOLDS = 5
 CALIBRATION = 1
-ORDER = 5
-SHARED = 3
-MOST_LABELS = 200_000
+ORDER = 12
+LOW = 4
+MOST_LABELS = 8_000
 CUT = 0.5
-SIZE = 3
-WORD_BITS = 24
-TOXIC_CUTOFF, ORDINARY_CUTOFF = 2, 8
-#: Tables of counts.
-ALL, SPELT, WORD = 0, 1, 2
+TELLING = (1, 2, 4)
+#: So many words without a difference are added to a text's own: the mean over few words would vary more than that over many.
+STEADY = 16
+SIZE = 1 + len(TELLING)
+END, START, FIRST_SIGN = 1, 2, 3
+#: Of tables of signs: the top order, and the shared orders LOW to 1.
+TOP = 0
 _POWER = np.cumprod(np.full(512, 0x9E3779B97F4A7C15, np.uint64), dtype=np.uint64)
-_SIGN = np.zeros(256, np.uint8)
-_SIGN[0x61:0x7B] = _SIGN[0x41:0x5B] = np.arange(1, 27)
-_SIGN[0x80:0xC0] = 28 + np.arange(64) % 4
-_SIGN[0xC0:0x100] = 27
-
-
-def grams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Keys of all events (letters of words, and ends); of each word its first event, its text and its cell."""
-    data = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
-    sign = np.r_[np.zeros(4, np.int32), _SIGN[data].astype(np.int32)]
-    n = len(data)
-    last = sign[4:]
-    key, alive = last.copy(), None
-    for back in range(1, ORDER):
-        part = sign[4 - back : 4 - back + n]
-        if alive is not None:
-            part = part * alive
-        key |= part << (5 * back)
-        alive = part != 0
-    event = (last != 0) | (sign[3 : 3 + n] != 0)
-    starts = np.flatnonzero((last != 0) & (sign[3 : 3 + n] == 0))
-    first = (np.cumsum(event) - 1)[starts]
-    ends = np.cumsum([len(t) + 1 for t in texts])
-    sign = last[event].astype(np.uint64)
+_A, _B = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
+
+
+@functools.cache
+def _is_letter() -> np.ndarray:
+    """By code point: whether it is a letter or a mark on one."""
+    return np.array([unicodedata.category(chr(c))[0] in "LM" for c in range(0x110000)])
+
+
+def _mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * _A
+    x = (x ^ (x >> np.uint64(27))) * _B
+    return x ^ (x >> np.uint64(31))
+
+
+def read(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Code points of all texts, lower-cased; of each word its begin, its end and its text."""
+    lowered = [t.decode().lower() + "\n" for t in texts]
+    codes = np.frombuffer("".join(lowered).encode("utf-32-le"), np.uint32)
+    edge = np.diff(_is_letter()[codes].astype(np.int8), prepend=np.int8(0))
+    first = np.flatnonzero(edge == 1)
+    return codes, first, np.flatnonzero(edge == -1), np.searchsorted(np.cumsum([len(x) for x in lowered]), first, "right")
+
+
+def _inside(first: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For runs of places: all the places, each one's number in its run, and where each run begins among them."""
+    begin = np.cumsum(size) - size
+    at = np.arange(int(size.sum())) - np.repeat(begin, size)
+    return np.repeat(first, size) + at, at, begin
+
+
+def hashes(codes: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
     if not len(first):
-        return key[event], first, first, first
-    at = np.arange(len(sign)) - np.repeat(first, np.diff(np.r_[first, len(sign)]))
-    cell = np.add.reduceat(sign * _POWER[at % len(_POWER)], first) * _POWER[3] >> np.uint64(64 - WORD_BITS)
-    return key[event], first, np.searchsorted(ends, starts, "right"), cell.astype(np.int64)
+        return np.zeros(0, np.uint64)
+    place, at, begin = _inside(first, last - first)
+    return _mix(np.add.reduceat(_mix(codes[place].astype(np.uint64)) * _POWER[at % len(_POWER)], begin) ^ (last - first).astype(np.uint64))
+
+
+def _once(doc: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """Places of the first of each key in each document."""
+    return np.unique(_mix(doc.astype(np.uint64) * _B + _mix(key)), return_index=True)[1]
+
 
+def pairs(words: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each word the hash of the word before it (0: none), and of both together."""
+    before = np.r_[np.zeros(min(1, len(words)), np.uint64), words[:-1]]
+    before[1:][doc[1:] != doc[:-1]] = 0
+    return before, _mix(before * _A + words)
 
-def _below(counts: np.ndarray) -> np.ndarray:
-    """Kneser-Ney counts of the next lower order, from an array of counts by key: distinct left signs, at a word's start the count itself."""
-    by_left = counts.reshape(32, -1)
-    lower = np.count_nonzero(by_left, axis=0).astype(np.float32)
-    starts = np.zeros(len(lower), bool)
-    starts.reshape(32, -1)[0] = True
-    lower[starts] = by_left[0][starts]
-    return lower
+
+def spelt(codes: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, dict[int, tuple[np.ndarray, np.ndarray]]]:
+    """The word of each sign that is predicted (letters and ends); by order (TOP, LOW to 1) keys of its context and of both."""
+    size = last - first
+    place, at, _ = _inside(first, size + 1)
+    n = np.repeat(size, size + 1)
+    sign = np.where(at < n, codes[np.minimum(place, len(codes) - 1)].astype(np.uint64) + np.uint64(FIRST_SIGN), np.uint64(END))
+    context, out = np.zeros(len(sign), np.uint64), {}
+    for back in range(1, ORDER):
+        if back <= LOW:
+            out[back] = (context, _mix(context * _B + sign))
+        there = at >= back - 1
+        before = np.where(at >= back, np.r_[np.zeros(min(back, len(sign)), np.uint64), sign[:-back]], np.uint64(START))
+        context = np.where(there, _mix(context * _A + before), context)
+    out[TOP] = (context, _mix(context * _B + sign))
+    return np.repeat(np.arange(len(first)), size + 1), out
+
+
+def looked_up(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each wanted key its place among the sorted keys, and whether it is there."""
+    if not len(keys):
+        return np.zeros(len(wanted), np.int64), np.zeros(len(wanted), bool)
+    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    return at, keys[at] == wanted
+
+
+def _taken(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Values by key, 0 for keys that are not there."""
+    at, there = looked_up(keys, wanted)
+    return np.where(there, values[at], 0) if len(keys) else np.zeros(len(wanted))
+
+
+def discount(once: float, twice: float) -> float:
+    return once / (once + 2 * twice) if once else 0.5
 
 
 def _discount(counts: np.ndarray) -> float:
-    one, two = np.count_nonzero(counts == 1), np.count_nonzero(counts == 2)
-    return one / (one + 2 * two) if one else 0.5
+    return discount(np.count_nonzero(counts == 1), np.count_nonzero(counts == 2))
+
+
+class Counts:
+    """Counts of an event after its context, from rows of (context, event, count), as discounted shares and what is left for backing off."""
+
+    def __init__(self, context: np.ndarray, key: np.ndarray, n: np.ndarray, total: np.ndarray | None = None, kinds: np.ndarray | None = None, cut: float | None = None):
+        """context: the place of each key's context, from 0. total, kinds: of each context, where the rows are not all that it has."""
+        self.cut = _discount(n) if cut is None else cut
+        size = int(context.max()) + 1 if len(context) else 0
+        total = np.bincount(context, n, size) if total is None else total
+        seen = np.maximum(n - self.cut, 0)
+        left = self.cut * (np.bincount(context, n > 0, size) if kinds is None else kinds)
+        known = total > 0
+        #: Of each row its share, and of each context what it leaves (1 if it was never seen).
+        self.share = np.where(known[context], seen / np.maximum(total, 1e-300)[context], 0.0) if size else np.zeros(0)
+        self.left = np.where(known, left / np.maximum(total, 1e-300), 1.0)
+
 
+class Shared:
+    """Orders LOW to 1 over the words of all documents. tables: by order the sorted keys, their counts, and their contexts' keys, totals and kinds."""
 
-def _mixed(counts: np.ndarray, lower: np.ndarray, discount: float) -> np.ndarray:
-    """Interpolated probabilities by key; ``lower`` has those of the next lower order, by key."""
-    rows = counts.reshape(-1, 32)
-    total = rows.sum(axis=1, keepdims=True)
-    kinds = np.count_nonzero(rows, axis=1).reshape(-1, 1)
-    below = np.broadcast_to(lower.reshape(1, -1), (len(counts) // len(lower), len(lower))).reshape(-1, 32)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        mixed = (np.maximum(rows - discount, 0) + discount * kinds * below) / total
-    return np.where(total > 0, mixed, below).astype(np.float32).ravel()
+    def __init__(self, tables: dict[int, tuple], cuts: dict[int, float]):
+        self.tables, self.cuts = tables, cuts
+
+    def share(self, orders: dict[int, tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        _, _, _, total, kinds = self.tables[1]
+        p = np.full(len(orders[1][1]), 1 / (1 + (kinds[0] if len(kinds) else 0)))
+        for order in range(1, LOW + 1):
+            keys, n, contexts, total, kinds = self.tables[order]
+            context, key = orders[order]
+            cut, whole = self.cuts[order], _taken(contexts, total, context)
+            mixed = (np.maximum(_taken(keys, n, key) - cut, 0) + cut * _taken(contexts, kinds, context) * p) / np.maximum(whole, 1)
+            p = np.where(whole > 0, mixed, p)
+        return p
 
 
 class Model:
-    """log P by order-5 key for each class (0 ordinary, 1 toxic), and the ratios of the words kept."""
-
-    def __init__(self, every_key: np.ndarray, every_n: np.ndarray, keys: np.ndarray, n: np.ndarray, words: np.ndarray, word_n: np.ndarray, facts: np.ndarray):
-        """every: counts of all texts by order-4 key; n, word_n: (2, len) counts by class; facts: (2, 4) tokens, types, types seen once and twice."""
-        every = np.zeros(32**4, np.float32)
-        every[every_key] = every_n
-        counts = [every]
-        while len(counts[-1]) > 32:
-            counts.append(_below(counts[-1]))
-        shared = _mixed(counts[-1], np.full(32, 1 / 32, np.float32), _discount(counts[-1]))
-        for c in reversed(counts[len(counts) - SHARED : -1]):
-            shared = _mixed(c, shared, _discount(c))
-        self.spelt = np.zeros((2, 32**ORDER), np.float16)
-        for c in (0, 1):
-            seen = n[c] > 0
-            self._spell(self.spelt[c], keys[seen], n[c][seen].astype(np.float32), shared)
-        self.words, order = np.sort(words), np.argsort(words)
-        tokens, types, once, twice = facts.T.astype(float)
-        discount = np.where(once > 0, once / np.maximum(1, once + 2 * twice), 0.5)
-        self.back = np.log(discount * types / tokens)
-        self.seen = (np.maximum(word_n - discount[:, None], 0) / tokens[:, None])[:, order]
+    """Sorted keys and log ratios (toxic over ordinary): of signs, of contexts of signs, of pairs of words, of first words of pairs."""
+
+    def __init__(self, tables: list[tuple[np.ndarray, np.ndarray]]):
+        self.sign, self.context, self.pair, self.lead = tables
 
     @staticmethod
-    def _spell(out: np.ndarray, keys: np.ndarray, n: np.ndarray, shared: np.ndarray) -> None:
-        table = np.zeros(32**4, np.float32)
-        inner = keys & (32**4 - 1)
-        start = (inner >> 15) == 0
-        np.add.at(table, inner[~start], 1)
-        np.add.at(table, inner[start], n[start])
-        middle, discount = _mixed(table, shared, _discount(table)), _discount(n)
-        for left in range(32):  # by the leftmost sign, so that only 2**20 cells are open at a time
-            here = (keys >> 20) == left
-            table = np.zeros(32**4, np.float32)
-            table[keys[here] & (32**4 - 1)] = n[here]
-            out[left << 20 : (left + 1) << 20] = np.log(_mixed(table, middle, discount) + 1e-12)
-
-    def word_ratios(self, keys: np.ndarray, first: np.ndarray, cell: np.ndarray) -> np.ndarray:
-        """log P(toxic) - log P(ordinary) of each word."""
-        spelt = [np.add.reduceat(self.spelt[c][keys].astype(np.float32), first) + self.back[c] for c in (0, 1)]
-        ratio = spelt[1] - spelt[0]
-        if len(self.words):
-            at = np.minimum(np.searchsorted(self.words, cell), len(self.words) - 1)
-            known = np.flatnonzero(self.words[at] == cell)
-            logs = [np.log(self.seen[c][at[known]] + np.exp(spelt[c][known])) for c in (0, 1)]
-            ratio[known] = logs[1] - logs[0]
-        return ratio
+    def _sorted(keys: np.ndarray, ratio: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        order = np.argsort(keys)
+        return keys[order], ratio[order].astype(np.float32)
+
+    def word_ratios(self, codes: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+        if not len(first):
+            return np.zeros(0)
+        word, orders = spelt(codes, first, last)
+        context, key = orders[TOP]
+        at, there = looked_up(self.sign[0], key)
+        out = np.where(there, self.sign[1][at] if len(self.sign[0]) else 0, _taken(*self.context, context))
+        return np.bincount(word, out, len(first))
+
+    def ratios(self, codes: np.ndarray, first: np.ndarray, last: np.ndarray, doc: np.ndarray) -> np.ndarray:
+        """log P(toxic) - log P(ordinary) of each word after the one before it."""
+        words = hashes(codes, first, last)
+        _, one, which = np.unique(words, return_index=True, return_inverse=True)
+        before, pair = pairs(words, doc)
+        out = self.word_ratios(codes, first[one], last[one])[which] + _taken(*self.lead, before)
+        at, there = looked_up(self.pair[0], pair)
+        return np.where(there, self.pair[1][at], out) if len(self.pair[0]) else out
 
 
 def evidence(texts: list[bytes], model: Model) -> np.ndarray:
-    """For each text: the mean ratio of an event, and the largest and second largest ratio of a word."""
+    """For each text: the difference of its log-likelihoods a word, over all its words and over the most telling ones."""
     out = np.zeros((len(texts), SIZE))
-    keys, first, doc, cell = grams(texts)
-    if not len(keys):
+    codes, first, last, doc = read(texts)
+    if not len(first):
         return out
-    word = model.word_ratios(keys, first, cell)
-    size = np.diff(np.r_[first, len(keys)])
-    out[:, 0] = np.bincount(doc, word, len(texts)) / np.maximum(1, np.bincount(doc, size, len(texts)))
-    order = np.lexsort((-word, doc))
-    begins = np.searchsorted(doc, np.arange(len(texts)))
-    ends = np.searchsorted(doc, np.arange(len(texts)), "right")
-    for k in range(SIZE - 1):
-        there = begins + k < ends
-        out[there, 1 + k] = word[order[(begins + k)[there]]]
+    ratio = model.ratios(codes, first, last, doc)
+    size = np.bincount(doc, minlength=len(texts))
+    out[:, 0] = np.bincount(doc, ratio, len(texts)) / (size + STEADY)
+    order = np.lexsort((-ratio, doc))
+    order = order[np.sort(_once(doc[order], hashes(codes, first, last)[order]))]  # of a word that is repeated, the place that tells most
+    size = np.bincount(doc[order], minlength=len(texts))
+    rank = np.arange(len(order)) - (np.cumsum(size) - size)[doc[order]]
+    for i, most in enumerate(TELLING):
+        top = order[rank < most]
+        out[:, 1 + i] = np.bincount(doc[top], ratio[top], len(texts)) / most
     return out
 
 
@@ -203,39 +262,127 @@ class Curve:
         return 1 / (1 + np.exp(-np.clip(self._design(x) @ self.weight, -700, 700)))
 
 
-def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(part, key, o, t): order-4 counts of all texts (in o), order-5 and word counts of labelled ones by class."""
-    every = np.zeros(32**4, np.int64)
-    own: dict[tuple[int, int], list] = {(part, c): [] for part in (SPELT, WORD) for c in (0, 1)}
+def _summed(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys, and the sums of the columns of n."""
+    keys, at = np.unique(keys, return_inverse=True)
+    return keys, np.stack([np.bincount(at, x, len(keys)) for x in np.atleast_2d(n)])
 
-    def merged(parts: list) -> list:
-        keys, n = (np.concatenate(x) for x in zip(*parts, strict=True))
-        keys, at = np.unique(keys, return_inverse=True)
-        return [(keys, np.bincount(at, n).astype(np.int64))]
 
+def _word_texts(codes: np.ndarray, first: np.ndarray, last: np.ndarray) -> list[str]:
+    text = codes.tobytes()
+    return [text[4 * a : 4 * b].decode("utf-32-le") for a, b in zip(first.tolist(), last.tolist(), strict=True)]
+
+
+def _counted_sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """word, before, pair, after, o, t: counts of words, and (word null) of pairs, by class."""
     for b in batches:
-        kinds = b.column("y").fill_null(-1).to_numpy(zero_copy_only=False)
-        at = 0
+        kinds, at = b.column("y").to_numpy(zero_copy_only=False), 0
         for texts in common.chunks(b.column("text")):
             kind = kinds[at : at + len(texts)]
             at += len(texts)
-            keys, first, doc, cell = grams(texts)
-            every += np.bincount(keys & (32**4 - 1), minlength=32**4)
-            size = np.diff(np.r_[first, len(keys)])
-            for c in (0, 1):
-                if (words := kind[doc] == c).any():
-                    own[SPELT, c].append(np.unique(keys[np.repeat(words, size)], return_counts=True))
-                    own[WORD, c].append(np.unique(cell[words], return_counts=True))
-            for k, parts in own.items():
-                if len(parts) > 16:
-                    own[k] = merged(parts)
-    found = [(ALL, 0, np.flatnonzero(every), every[every > 0])]
-    found += [(*k, *merged(parts)[0]) for k, parts in own.items() if parts]
-    for part, c, keys, n in found:
-        for i in range(0, len(keys), 50_000):
-            k, m = keys[i : i + 50_000].astype(np.int32), n[i : i + 50_000].astype(np.int64)
-            columns = [np.full(len(k), part, np.int32), k, m * (c == 0), m * (c == 1)]
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["part", "key", "o", "t"])
+            codes, first, last, doc = read(texts)
+            words = hashes(codes, first, last)
+            before, pair = pairs(words, doc)
+            for key, is_pair in ((words, False), (pair, True)):
+                own = _once(doc, key)
+                one = own[np.unique(key[own], return_index=True)[1]]
+                n = _summed(key[own], np.stack([kind[doc[own]] == 0, kind[doc[own]] == 1]))[1].astype(np.int64)
+                none = pa.nulls(len(one), pa.string())
+                text = none if is_pair else pa.array(_word_texts(codes, first[one], last[one]), pa.string())
+                longs = [np.where(is_pair, x[one], 0).astype(np.uint64).view(np.int64) for x in (before, pair, words)]
+                yield pa.RecordBatch.from_arrays([text, *map(pa.array, longs), pa.array(n[0]), pa.array(n[1])], ["word", "before", "pair", "after", "o", "t"])
+
+
+def _counted(held):
+    """held: sorted keys of pairs. (word, pair, n): counts of words, and (word null) of those pairs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for texts in common.chunks(b.column("text")):
+                codes, first, last, doc = read(texts)
+                words = hashes(codes, first, last)
+                own = _once(doc, words)
+                _, one, n = np.unique(words[own], return_index=True, return_counts=True)
+                one = own[one]
+                yield pa.RecordBatch.from_arrays([pa.array(_word_texts(codes, first[one], last[one]), pa.string()), pa.array(np.zeros(len(one), np.int64)), pa.array(n.astype(np.int64))], ["word", "pair", "n"])
+                _, pair = pairs(words, doc)
+                here = np.flatnonzero(looked_up(held.value, pair)[1])
+                keys, n = np.unique(pair[here][_once(doc[here], pair[here])], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.nulls(len(keys), pa.string()), pa.array(keys.view(np.int64)), pa.array(n.astype(np.int64))], ["word", "pair", "n"])
+
+    return run
+
+
+def _joined(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Words as one array of code points, and their begins and ends."""
+    size = np.array([len(w) for w in words], np.int64)
+    return np.frombuffer("".join(words).encode("utf-32-le"), np.uint32), np.cumsum(size) - size, np.cumsum(size)
+
+
+def _signs(wanted):
+    """wanted: by order the sorted keys of contexts. (part, context, key, n): of the words of all documents, how often a sign
+    follows a wanted context, and (context null) how often a sign's count is one or two in the lower orders is told by the rest."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            word, orders = spelt(*_joined(b.column("word").to_pylist()))
+            tokens = b.column("n").to_numpy()[word]
+            for order, (context, key) in orders.items():
+                if order == TOP:  # the lower orders are told whole: an alphabet bounds them, and their discounts need all
+                    mine = looked_up(wanted.value, context)[1]
+                    context, key = context[mine], key[mine]
+                _, one = np.unique(key, return_index=True)
+                _, n = _summed(key, tokens[mine] if order == TOP else np.ones(len(key)))
+                columns = [np.full(len(one), order, np.int32), context[one].view(np.int64), key[one].view(np.int64), n[0].astype(np.int64)]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["part", "context", "key", "n"])
+
+    return run
+
+
+def build(words: list[str], n: np.ndarray, every: np.ndarray, pair: dict[str, np.ndarray], top: dict[str, np.ndarray], low: Shared) -> Model:
+    """words with counts by class n (2, words) and in all documents; pair: before, after, key, n (2, pairs), every;
+    top: context, key and count of the signs of all documents' words after the contexts of these words."""
+    codes, first, last = _joined(words)
+    word, orders = spelt(codes, first, last)
+    context, key = orders[TOP]
+    keys, one, at = np.unique(key, return_index=True, return_inverse=True)
+    contexts, place = np.unique(context[one], return_inverse=True)
+    # All documents' signs after these contexts: totals and kinds need them all, shares only those of the sample.
+    mine, here = looked_up(contexts, top["context"])
+    mine, count = mine[here], top["n"][here]
+    total, kinds = np.bincount(mine, count, len(contexts)), np.bincount(mine, minlength=len(contexts))
+    order = np.argsort(top["key"])
+    own = _taken(top["key"][order], top["n"][order], keys)
+    shared = Counts(place, keys, own, total, kinds, _discount(count))
+    base = shared.share + shared.left[place] * low.share({o: (c[one], k[one]) for o, (c, k) in orders.items()})
+    chance, left = [], []
+    for c in (0, 1):
+        model = Counts(place, keys, np.bincount(at, n[c][word], len(keys)))
+        chance.append(model.share + model.left[place] * base)
+        left.append(model.left)
+    sign, back = np.log(chance[1]) - np.log(chance[0]), np.log(left[1]) - np.log(left[0])
+    # Pairs: of each the chance of its second word under both classes, by its letters.
+    whole = [np.bincount(word, np.log(chance[c])[at], len(words)) for c in (0, 1)]
+    named = hashes(codes, first, last)
+    order = np.argsort(named)
+    second, known = looked_up(named[order], pair["after"])
+    lead, place = np.unique(pair["before"], return_inverse=True)
+    held = np.bincount(place, pair["every"], len(lead))
+    total = np.maximum(held, _taken(named[order], every[order], lead))
+    cut = _discount(pair["every"])
+    together = np.maximum(pair["every"] - cut, 0) / np.maximum(total[place], 1)
+    rest = 1 - np.bincount(place, together, len(lead))
+    chance, left = [], []
+    for c in (0, 1):
+        model = Counts(place, pair["key"], pair["n"][c])
+        chance.append(model.share + model.left[place] * (together + rest[place] * np.exp(whole[c][order[second]])))
+        left.append(model.left)
+    assert known.all()
+    ratio = np.log(chance[1]) - np.log(chance[0])
+    tables = [(keys, sign), (contexts, back), (pair["key"], ratio), (lead, np.log(left[1]) - np.log(left[0]))]
+    return Model([Model._sorted(*t) for t in tables])
 
 
 def labelled_sample(labels: DataFrame, most: int = MOST_LABELS) -> DataFrame:
@@ -257,34 +404,54 @@ def labelled_sample(labels: DataFrame, most: int = MOST_LABELS) -> DataFrame:
     return part(0).unionByName(part(1))
 
 
+def _unsigned(column) -> np.ndarray:
+    return column.to_numpy().view(np.uint64)
+
+
 def fit(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELS):
-    """A broadcast recipe of the model (None without labels of both classes), and the curve."""
+    """A broadcast of the model (None without labels of both classes), and the curve."""
     spark = docs.sparkSession
     sample = common.stored(labelled_sample(labels, most), "labels")
     thin = docs.select(F.col("doc_id").alias("doc_id"), "text")
     calibrates = common.fold(F.col("doc_id"), FOLDS) == CALIBRATION
-    # The sample has at most 2 * most rows of 12 bytes.
-    marked = thin.join(F.broadcast(sample.select("doc_id", "y")), "doc_id", "left").select(F.when(~calibrates, F.col("y")).alias("y"), "text")
-    counts = common.stored(marked.mapInArrow(_counted, "part int, key int, o long, t long").groupBy("part", "key").agg(F.sum("o").alias("o"), F.sum("t").alias("t")), "counts")
-    word = counts.where(F.col("part") == WORD)
-    facts = word.agg(*(f(F.col(c)) for c in "ot" for f in (F.sum, lambda x: F.count_if(x > 0), lambda x: F.count_if(x == 1), lambda x: F.count_if(x == 2)))).first()
-    kept = counts.where((F.col("part") != WORD) | (F.col("t") >= TOXIC_CUTOFF) | (F.col("o") >= ORDINARY_CUTOFF)).toArrow()
-    part, key, o, t = (kept[c].to_numpy() for c in ("part", "key", "o", "t"))
-    if not (facts[0] and facts[4]):
+    # The sample has at most 2 * most rows of 20 bytes.
+    learnt = thin.join(F.broadcast(sample.where(~calibrates).select("doc_id", "y")), "doc_id").select("y", "text")
+    counts = learnt.mapInArrow(_counted_sample, "word string, before long, pair long, after long, o long, t long")
+    counts = common.stored(counts.groupBy("word", "before", "pair", "after").agg(F.sum("o").alias("o"), F.sum("t").alias("t")), "sample_counts")
+    seen = counts.where("word is not null").agg(F.sum("o"), F.sum("t")).first()
+    if not (seen[0] and seen[1]):
         return None, Curve(np.zeros((0, SIZE)), np.zeros(0))
-    n = np.array([o, t])
-    cells = (key[part == ALL], o[part == ALL], key[part == SPELT], n[:, part == SPELT], key[part == WORD].astype(np.int64), n[:, part == WORD])
-    sent = spark.sparkContext.broadcast(common.Recipe(Model, *cells, np.array(facts).reshape(2, 4)))
+    held = spark.sparkContext.broadcast(np.sort(_unsigned(counts.where("word is null").select("pair").toArrow()["pair"])))
+    rows = thin.select("text").mapInArrow(_counted(held), "word string, pair long, n long")
+    every = common.stored(rows.groupBy("word", "pair").agg(F.sum("n").alias("n")), "all_counts")
+    words = counts.where("word is not null").select("word", "o", "t").join(every.where("word is not null").select("word", "n"), "word").toArrow()
+    both = counts.where("word is null").drop("word").join(every.where("word is null").select("pair", "n"), "pair").toArrow()
+    texts = words["word"].to_pylist()
+    wanted = spark.sparkContext.broadcast(np.unique(spelt(*_joined(texts))[1][TOP][0]))
+    signs = every.where("word is not null").select("word", "n").mapInArrow(_signs(wanted), "part int, context long, key long, n long")
+    signs = signs.groupBy("part", "context", "key").agg(F.sum("n").alias("n")).toArrow()
+    part, context, key, n = signs["part"].to_numpy(), _unsigned(signs["context"]), _unsigned(signs["key"]), signs["n"].to_numpy()
+    tables, cuts = {}, {}
+    for order in range(1, LOW + 1):
+        mine = np.flatnonzero(part == order)
+        mine = mine[np.argsort(key[mine])]
+        contexts, place = np.unique(context[mine], return_inverse=True)
+        tables[order] = (key[mine], n[mine], contexts, np.bincount(place, n[mine]), np.bincount(place))
+        cuts[order] = _discount(n[mine])
+    top = {"context": context[part == TOP], "key": key[part == TOP], "n": n[part == TOP]}
+    pair = {"before": _unsigned(both["before"]), "after": _unsigned(both["after"]), "key": _unsigned(both["pair"]), "n": np.stack([both["o"].to_numpy(), both["t"].to_numpy()]), "every": both["n"].to_numpy()}
+    model = build(texts, np.stack([words["o"].to_numpy(), words["t"].to_numpy()]), words["n"].to_numpy(), pair, top, Shared(tables, cuts))
+    sent = spark.sparkContext.broadcast(model)
     found = evidence_udf(sent)
-    held = thin.join(F.broadcast(sample.where(calibrates)), "doc_id").select("y", "weight", found("text").alias("e")).toArrow()
-    x = held["e"].combine_chunks().flatten().to_numpy().reshape(-1, SIZE)
-    return sent, Curve(x, held["y"].to_numpy(), held["weight"].to_numpy())
+    marked = thin.join(F.broadcast(sample.where(calibrates)), "doc_id").select("y", "weight", found("text").alias("e")).toArrow()
+    x = marked["e"].combine_chunks().flatten().to_numpy().reshape(-1, SIZE)
+    return sent, Curve(x, marked["y"].to_numpy(), marked["weight"].to_numpy())
 
 
 def evidence_udf(sent):
     @arrow_udf("array<double>")
     def found(text: pa.Array) -> pa.Array:
-        rows = [evidence(part, sent.value.made()) for part in common.chunks(text)]
+        rows = [evidence(part, sent.value) for part in common.chunks(text)]
         flat = np.concatenate(rows) if rows else np.zeros((0, SIZE))
         return pa.ListArray.from_arrays(pa.array(np.arange(0, flat.size + 1, SIZE, dtype=np.int32)), pa.array(flat.ravel()))
 
@@ -297,7 +464,7 @@ def scores(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELS) -> DataF
 
     @arrow_udf("double")
     def score(text: pa.Array) -> pa.Array:
-        rows = [np.zeros(len(part)) if sent is None else curve.score(evidence(part, sent.value.made())) for part in common.chunks(text)]
+        rows = [np.zeros(len(part)) if sent is None else curve.score(evidence(part, sent.value)) for part in common.chunks(text)]
         return pa.array(np.concatenate(rows) if rows else np.zeros(0))
 
     held = common.fold(F.col("doc_id"), FOLDS) == 0

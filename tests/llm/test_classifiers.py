@@ -1,5 +1,6 @@
 """Quality, toxicity, language: held-out accuracy, hostile rows, and that the models' parts are what they claim."""
 
+import unicodedata
 import zlib
 from collections import Counter
 
@@ -94,26 +95,136 @@ def test_folds_are_those_of_crc32(spark):
     assert all(r["f"] == remainder(r["id"], 5) for r in rows)
 
 
-def counted(texts, classes):
-    import pyarrow as pa
+def brute_words(text):
+    """Runs of letters and marks, lower-cased."""
+    out, word = [], ""
+    for c in (text or "").lower() + " ":
+        if unicodedata.category(c)[0] in "LM":
+            word += c
+        elif word:
+            out.append(word)
+            word = ""
+    return out
+
+
+def brute_discount(counts):
+    once, twice = sum(n == 1 for n in counts), sum(n == 2 for n in counts)
+    return once / (once + 2 * twice) if once else 0.5
+
+
+class Brute:
+    """The models by dictionaries of strings: learn (text, class), and all texts."""
+
+    def __init__(self, learnt, every):
+        self.n = [Counter(), Counter()]
+        self.pairs = [Counter(), Counter()]
+        for text, y in learnt:
+            words = brute_words(text)
+            self.n[y].update(set(words))
+            self.pairs[y].update(set(zip(["", *words], words)))
+        known, held = set(self.n[0]) | set(self.n[1]), set(self.pairs[0]) | set(self.pairs[1])
+        words, pairs = Counter(), Counter()
+        for text in every:
+            own = brute_words(text)
+            words.update(set(own))
+            pairs.update(set(zip(["", *own], own)) & held)
+        self.words, self.all_pairs = words, pairs
+        # Signs after what precedes them, from a word's begin ^ to its end $.
+        self.top = [self.signs({w: n for w, n in c.items()}, toxicity.ORDER) for c in self.n]
+        self.every = self.signs(words, toxicity.ORDER)
+        contexts = {h for w in known for h, _ in self.spelt(w, toxicity.ORDER)}
+        self.cut = [brute_discount(n.values()) for n in self.top]
+        self.cut_every = brute_discount([n for (h, x), n in self.every.items() if h in contexts])
+        self.low = {k: self.signs(dict.fromkeys(words, 1), k) for k in range(1, toxicity.LOW + 1)}
+        self.cut_low = {k: brute_discount(n.values()) for k, n in self.low.items()}
+        self.followers = {}
+        for name, table in [(("c", c), self.top[c]) for c in (0, 1)] + [("all", self.every)] + list(self.low.items()):
+            of = self.followers[name] = {}
+            for (h, _), n in table.items():
+                total, kinds = of.get(h, (0, 0))
+                of[h] = (total + n, kinds + 1)
+        self.cut_pairs = [brute_discount(p.values()) for p in self.pairs]
+        self.cut_all_pairs = brute_discount([pairs[p] for p in held])
+        self.held = held
+
+    @staticmethod
+    def spelt(word, order):
+        signs = "^" + word + "$"
+        return [(signs[max(0, i - order + 1) : i], signs[i]) for i in range(1, len(signs))]
+
+    def signs(self, words, order):
+        out = Counter()
+        for w, n in words.items():
+            for e in self.spelt(w, order):
+                out[e] += n
+        return out
+
+    def shared_low(self, before, x, order):
+        if not order:
+            return 1 / (1 + self.followers[1][""][1])
+        h = before[len(before) - order + 1 :] if order > 1 and len(before) >= order - 1 else before if order > 1 else ""
+        p = self.shared_low(before, x, order - 1)
+        total, kinds = self.followers[order].get(h, (0, 0))
+        return (max(self.low[order][h, x] - self.cut_low[order], 0) + self.cut_low[order] * kinds * p) / total if total else p
+
+    def sign(self, c, h, x):
+        p = self.shared_low(h, x, toxicity.LOW)
+        for table, name, cut in ((self.every, "all", self.cut_every), (self.top[c], ("c", c), self.cut[c])):
+            total, kinds = self.followers[name].get(h, (0, 0))
+            p = (max(table[h, x] - cut, 0) + cut * kinds * p) / total if total else p
+        return p
+
+    def word(self, c, word):
+        return np.prod([self.sign(c, h, x) for h, x in self.spelt(word, toxicity.ORDER)])
+
+    def pair(self, c, u, w):
+        followers = [p for p in self.held if p[0] == u]
+        if not followers:
+            return self.word(c, w)
+        of_all = max(sum(self.all_pairs[p] for p in followers), self.words[u])
+        share = {p: max(self.all_pairs[p] - self.cut_all_pairs, 0) / of_all for p in followers}
+        p = share.get((u, w), 0) + (1 - sum(share.values())) * self.word(c, w)
+        own = [self.pairs[c][f] for f in followers if self.pairs[c][f]]
+        return (max(self.pairs[c][u, w] - self.cut_pairs[c], 0) + self.cut_pairs[c] * len(own) * p) / sum(own) if own else p
+
+    def evidence(self, text):
+        words = brute_words(text)
+        ratio = [np.log(self.pair(1, u, w)) - np.log(self.pair(0, u, w)) for u, w in zip(["", *words], words)]
+        best = {}
+        for w, r in zip(words, ratio):
+            best[w] = max(r, best.get(w, r))
+        top = sorted(best.values(), reverse=True)
+        return [sum(ratio) / (len(words) + toxicity.STEADY), *(sum(top[:k]) / k for k in toxicity.TELLING)]
+
+
+def test_the_models_are_kneser_neys(spark):
+    """Evidence of every text against dictionaries of strings: letters beyond Latin, long words, phrases, unseen words."""
+    rng = np.random.default_rng(6)
+    phrase = ["go", "back"]
+    def text(toxic):
+        words = [str(rng.choice(["river", "stone", "élan", "река", "камень", "石頭", "lamp", "go", "back", "x" * 30, "größe"])) for _ in range(int(rng.integers(3, 12)))]
+        return " ".join(words + (phrase if toxic else phrase[::-1])) + ("!" if toxic else ". 42")
+    rows = [(i, text(i % 3 == 0), "en", "a") for i in range(60)] + [(100, None, None, None), (101, "", None, None), (102, "neu und новое 石 x", None, None)]
+    docs, labels = messy.documents(spark, rows), messy.labels(spark, [(i, 1, int(i % 3 == 0), None) for i in range(60)])
+    sent, curve = toxicity.fit(docs, labels)
+    assert curve.known
+    learnt = [(t, int(i % 3 == 0)) for i, t, _, _ in rows[:60] if remainder(i, 5) > 1]
+    brute = Brute(learnt, [t for _, t, _, _ in rows])
+    got = toxicity.evidence([(t or "").encode() for _, t, _, _ in rows], sent.value)
+    want = np.array([brute.evidence(t) for _, t, _, _ in rows])
+    assert np.allclose(got, want, atol=1e-4)
+    # A phrase of words that both classes use, in another order.
+    assert brute.pair(1, "go", "back") > 2 * brute.pair(0, "go", "back")
 
-    batch = pa.RecordBatch.from_arrays([pa.array(classes, pa.int32()), pa.array(texts)], ["y", "text"])
-    t = pa.Table.from_batches(toxicity._counted(iter([batch])))
-    return tuple(t[c].to_numpy() for c in ("part", "key", "o", "t"))
 
-
-def test_counts_of_grams():
-    part, key, o, t = counted(["ab Ab", "ab!"], [0, 1])
-    sign = lambda s: sum((0 if c == "^" else ord(c) - 96) << (5 * i) for i, c in enumerate(reversed(s)))
-    both = {}
-    for p, k, a, b in zip(part, key, o, t):
-        if p == toxicity.SPELT:
-            x = both.setdefault(int(k), [0, 0])
-            x[0] += a
-            x[1] += b
-    assert both == {sign("^^^^a"): [2, 1], sign("^^^ab"): [2, 1], sign("^^ab^"): [2, 1]}
-    every = {int(k): int(a) for p, k, a in zip(part, key, o) if p == toxicity.ALL}
-    assert every == {sign("^^^a"): 3, sign("^^ab"): 3, sign("^ab^"): 3}
+def test_distributions_sum_to_one():
+    rng = np.random.default_rng(4)
+    texts = [(prose(rng, 30), i % 2) for i in range(12)]
+    brute = Brute(texts, [t for t, _ in texts])
+    signs = {x for _, x in brute.every} | {"?"}  # one sign stands for all that were never seen
+    for c in (0, 1):
+        for h, _ in list(brute.top[c])[:40]:
+            assert abs(sum(brute.sign(c, h, x) for x in signs) - 1) < 1e-9
 
 
 def test_label_sample_is_bounded(spark):
