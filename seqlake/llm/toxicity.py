@@ -50,11 +50,13 @@ FOLDS = 5
 CALIBRATION = 1
 ORDER = 12
 LOW = 4
-MOST_LABELS = 8_000
+MOST_LABELS = 2_000
 CUT = 0.5
 TELLING = (1, 2, 4)
 #: So many words without a difference are added to a text's own: the mean over few words would vary more than that over many.
 STEADY = 16
+#: Words whose ratios a worker keeps.
+KEPT = 1_000_000
 SIZE = 1 + len(TELLING)
 END, START, FIRST_SIGN = 1, 2, 3
 #: Of tables of signs: the top order, and the shared orders LOW to 1.
@@ -107,7 +109,11 @@ def pairs(words: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Of each word the hash of the word before it (0: none), and of both together."""
     before = np.r_[np.zeros(min(1, len(words)), np.uint64), words[:-1]]
     before[1:][doc[1:] != doc[:-1]] = 0
-    return before, _mix(before * _A + words)
+    return before, _pair(before, words)
+
+
+def _pair(before: np.ndarray, after: np.ndarray) -> np.ndarray:
+    return _mix(before * _A + after)
 
 
 def spelt(codes: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, dict[int, tuple[np.ndarray, np.ndarray]]]:
@@ -203,12 +209,32 @@ class Model:
         out = np.where(there, self.sign[1][at] if len(self.sign[0]) else 0, _taken(*self.context, context))
         return np.bincount(word, out, len(first))
 
+    def _known_ratios(self, keys: np.ndarray, codes: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+        """Of words with distinct, sorted hashes; what a worker has worked out is kept, up to KEPT words."""
+        known, ratio = self.__dict__.setdefault("_kept", (np.zeros(0, np.uint64), np.zeros(0)))
+        at, there = looked_up(known, keys)
+        out = np.empty(len(keys))
+        out[there] = ratio[at[there]]
+        new = np.flatnonzero(~there)
+        out[new] = self.word_ratios(codes, first[new], last[new])
+        if len(new):
+            both = np.r_[known, keys[new]] if len(known) < KEPT else keys[new]
+            order = np.argsort(both, kind="stable")
+            self._kept = both[order], (np.r_[ratio, out[new]] if len(known) < KEPT else out[new])[order]
+        return out
+
+    def __getstate__(self):
+        return {k: v for k, v in self.__dict__.items() if k != "_kept"}
+
     def ratios(self, codes: np.ndarray, first: np.ndarray, last: np.ndarray, doc: np.ndarray) -> np.ndarray:
         """log P(toxic) - log P(ordinary) of each word after the one before it."""
         words = hashes(codes, first, last)
-        _, one, which = np.unique(words, return_index=True, return_inverse=True)
+        keys, one, which = np.unique(words, return_index=True, return_inverse=True)
         before, pair = pairs(words, doc)
-        out = self.word_ratios(codes, first[one], last[one])[which] + _taken(*self.lead, before)
+        lead = _taken(*self.lead, np.r_[keys, np.uint64(0)])
+        where = np.r_[len(keys), which[:-1]] if len(which) else which
+        where[1:][doc[1:] != doc[:-1]] = len(keys)
+        out = self._known_ratios(keys, codes, first[one], last[one])[which] + lead[where]
         at, there = looked_up(self.pair[0], pair)
         return np.where(there, self.pair[1][at], out) if len(self.pair[0]) else out
 
@@ -293,22 +319,58 @@ def _counted_sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
                 yield pa.RecordBatch.from_arrays([text, *map(pa.array, longs), pa.array(n[0]), pa.array(n[1])], ["word", "before", "pair", "after", "o", "t"])
 
 
+class _Tally:
+    """Counts of words that a task has met, by sorted hash, with the text of each."""
+
+    MOST = 2_000_000
+
+    def __init__(self):
+        self.keys, self.n, self.met = np.zeros(0, np.uint64), np.zeros(0, np.int64), []
+
+    def add(self, keys: np.ndarray, n: np.ndarray, text) -> None:
+        """keys: sorted, distinct; text: gives the texts of some of them."""
+        at, there = looked_up(self.keys, keys)
+        self.n[at[there]] += n[there]
+        new = np.flatnonzero(~there)
+        if len(new):
+            self.met.append((keys[new], text(new)))
+            both = np.r_[self.keys, keys[new]]
+            order = np.argsort(both, kind="stable")
+            self.keys, self.n = both[order], np.r_[self.n, n[new]][order]
+
+    def rows(self) -> Iterator[pa.RecordBatch]:
+        for keys, text in self.met:
+            n = self.n[looked_up(self.keys, keys)[0]]
+            for i in range(0, len(keys), 50_000):
+                part = slice(i, i + 50_000)
+                yield pa.RecordBatch.from_arrays([pa.array(text[part], pa.string()), pa.array(np.zeros(len(keys[part]), np.int64)), pa.array(n[part])], ["word", "pair", "n"])
+        self.__init__()
+
+
 def _counted(held):
     """held: sorted keys of pairs. (word, pair, n): counts of words, and (word null) of those pairs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tally, together = _Tally(), np.zeros(len(held.value), np.int64)
         for b in batches:
             for texts in common.chunks(b.column("text")):
                 codes, first, last, doc = read(texts)
                 words = hashes(codes, first, last)
                 own = _once(doc, words)
-                _, one, n = np.unique(words[own], return_index=True, return_counts=True)
+                keys, one, n = np.unique(words[own], return_index=True, return_counts=True)
                 one = own[one]
-                yield pa.RecordBatch.from_arrays([pa.array(_word_texts(codes, first[one], last[one]), pa.string()), pa.array(np.zeros(len(one), np.int64)), pa.array(n.astype(np.int64))], ["word", "pair", "n"])
+                tally.add(keys, n.astype(np.int64), lambda new: _word_texts(codes, first[one[new]], last[one[new]]))  # noqa: B023
                 _, pair = pairs(words, doc)
-                here = np.flatnonzero(looked_up(held.value, pair)[1])
-                keys, n = np.unique(pair[here][_once(doc[here], pair[here])], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.nulls(len(keys), pa.string()), pa.array(keys.view(np.int64)), pa.array(n.astype(np.int64))], ["word", "pair", "n"])
+                at, there = looked_up(held.value, pair)
+                here = np.flatnonzero(there)
+                together += np.bincount(at[here][_once(doc[here], pair[here])], minlength=len(together))
+                if len(tally.keys) > tally.MOST:
+                    yield from tally.rows()
+        yield from tally.rows()
+        met = np.flatnonzero(together)
+        for i in range(0, len(met), 50_000):
+            part = met[i : i + 50_000]
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(part), pa.string()), pa.array(held.value[part].view(np.int64)), pa.array(together[part])], ["word", "pair", "n"])
 
     return run
 
@@ -319,6 +381,10 @@ def _joined(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.frombuffer("".join(words).encode("utf-32-le"), np.uint32), np.cumsum(size) - size, np.cumsum(size)
 
 
+def _blocks(n: int, size: int = 20_000) -> Iterator[slice]:
+    return (slice(i, min(n, i + size)) for i in range(0, n, size))
+
+
 def _signs(wanted):
     """wanted: by order the sorted keys of contexts. (part, context, key, n): of the words of all documents, how often a sign
     follows a wanted context, and (context null) how often a sign's count is one or two in the lower orders is told by the rest."""
@@ -344,11 +410,19 @@ def _signs(wanted):
 def build(words: list[str], n: np.ndarray, every: np.ndarray, pair: dict[str, np.ndarray], top: dict[str, np.ndarray], low: Shared) -> Model:
     """words with counts by class n (2, words) and in all documents; pair: before, after, key, n (2, pairs), every;
     top: context, key and count of the signs of all documents' words after the contexts of these words."""
-    codes, first, last = _joined(words)
-    word, orders = spelt(codes, first, last)
-    context, key = orders[TOP]
+    parts = []
+    for block in _blocks(len(words)):  # the driver holds the distinct runs of signs, and the signs of one block of words
+        word, orders = spelt(*_joined(words[block]))
+        context, key = orders[TOP]
+        own, one, at = np.unique(key, return_index=True, return_inverse=True)
+        below = low.share({o: (c[one], k[one]) for o, (c, k) in orders.items()})
+        parts.append((own, context[one], below, *(np.bincount(at, n[c][block][word], len(own)) for c in (0, 1))))
+    key, context, below, *by_class = (np.concatenate(x) for x in zip(*parts, strict=True))
+    del parts
     keys, one, at = np.unique(key, return_index=True, return_inverse=True)
+    by_class = [np.bincount(at, x, len(keys)) for x in by_class]
     contexts, place = np.unique(context[one], return_inverse=True)
+    below = below[one]
     # All documents' signs after these contexts: totals and kinds need them all, shares only those of the sample.
     mine, here = looked_up(contexts, top["context"])
     mine, count = mine[here], top["n"][here]
@@ -356,16 +430,23 @@ def build(words: list[str], n: np.ndarray, every: np.ndarray, pair: dict[str, np
     order = np.argsort(top["key"])
     own = _taken(top["key"][order], top["n"][order], keys)
     shared = Counts(place, keys, own, total, kinds, _discount(count))
-    base = shared.share + shared.left[place] * low.share({o: (c[one], k[one]) for o, (c, k) in orders.items()})
+    base = shared.share + shared.left[place] * below
     chance, left = [], []
-    for c in (0, 1):
-        model = Counts(place, keys, np.bincount(at, n[c][word], len(keys)))
+    for x in by_class:
+        model = Counts(place, keys, x)
         chance.append(model.share + model.left[place] * base)
         left.append(model.left)
-    sign, back = np.log(chance[1]) - np.log(chance[0]), np.log(left[1]) - np.log(left[0])
+    logs = [np.log(x) for x in chance]
+    sign, back = logs[1] - logs[0], np.log(left[1]) - np.log(left[0])
     # Pairs: of each the chance of its second word under both classes, by its letters.
-    whole = [np.bincount(word, np.log(chance[c])[at], len(words)) for c in (0, 1)]
-    named = hashes(codes, first, last)
+    whole, named = [np.zeros(len(words)) for _ in (0, 1)], np.zeros(len(words), np.uint64)
+    for block in _blocks(len(words)):
+        codes, first, last = _joined(words[block])
+        named[block] = hashes(codes, first, last)
+        word, orders = spelt(codes, first, last)
+        at = np.searchsorted(keys, orders[TOP][1])
+        for c in (0, 1):
+            whole[c][block] = np.bincount(word, logs[c][at], len(first))
     order = np.argsort(named)
     second, known = looked_up(named[order], pair["after"])
     lead, place = np.unique(pair["before"], return_inverse=True)
@@ -425,12 +506,14 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELS):
     rows = thin.select("text").mapInArrow(_counted(held), "word string, pair long, n long")
     every = common.stored(rows.groupBy("word", "pair").agg(F.sum("n").alias("n")), "all_counts")
     words = counts.where("word is not null").select("word", "o", "t").join(every.where("word is not null").select("word", "n"), "word").toArrow()
-    both = counts.where("word is null").drop("word").join(every.where("word is null").select("pair", "n"), "pair").toArrow()
+    both = counts.where("word is null").select("pair", "before", "after", F.col("o").cast("int").alias("o"), F.col("t").cast("int").alias("t")).join(every.where("word is null").select("pair", "n"), "pair").drop("pair").toArrow()
     texts = words["word"].to_pylist()
-    wanted = spark.sparkContext.broadcast(np.unique(spelt(*_joined(texts))[1][TOP][0]))
+    contexts = [np.unique(spelt(*_joined(texts[block]))[1][TOP][0]) for block in _blocks(len(texts))]
+    wanted = spark.sparkContext.broadcast(np.unique(np.concatenate(contexts)))
     signs = every.where("word is not null").select("word", "n").mapInArrow(_signs(wanted), "part int, context long, key long, n long")
     signs = signs.groupBy("part", "context", "key").agg(F.sum("n").alias("n")).toArrow()
     part, context, key, n = signs["part"].to_numpy(), _unsigned(signs["context"]), _unsigned(signs["key"]), signs["n"].to_numpy()
+    del contexts, signs
     tables, cuts = {}, {}
     for order in range(1, LOW + 1):
         mine = np.flatnonzero(part == order)
@@ -439,7 +522,8 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELS):
         tables[order] = (key[mine], n[mine], contexts, np.bincount(place, n[mine]), np.bincount(place))
         cuts[order] = _discount(n[mine])
     top = {"context": context[part == TOP], "key": key[part == TOP], "n": n[part == TOP]}
-    pair = {"before": _unsigned(both["before"]), "after": _unsigned(both["after"]), "key": _unsigned(both["pair"]), "n": np.stack([both["o"].to_numpy(), both["t"].to_numpy()]), "every": both["n"].to_numpy()}
+    before, after = _unsigned(both["before"]), _unsigned(both["after"])
+    pair = {"before": before, "after": after, "key": _pair(before, after), "n": np.stack([both["o"].to_numpy(), both["t"].to_numpy()]), "every": both["n"].to_numpy()}
     model = build(texts, np.stack([words["o"].to_numpy(), words["t"].to_numpy()]), words["n"].to_numpy(), pair, top, Shared(tables, cuts))
     sent = spark.sparkContext.broadcast(model)
     found = evidence_udf(sent)

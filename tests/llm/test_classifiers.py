@@ -252,27 +252,6 @@ def test_a_weight_counts_as_so_many_rows():
     assert np.allclose(long.score(x), short.score(x), atol=1e-6)
 
 
-def test_distributions_sum_to_one():
-    rng = np.random.default_rng(4)
-    texts = [prose(rng, 200) for _ in range(20)]
-    part, key, o, t = counted(texts, [i % 2 for i in range(20)])
-    import collections
-
-    cells = collections.defaultdict(lambda: [0, 0])
-    for p, k, a, b in zip(part, key, o, t):
-        cells[p, k][0] += a
-        cells[p, k][1] += b
-    def of(what):
-        keys = np.array([k for p, k in cells if p == what])
-        return keys, np.array([cells[what, k] for k in keys]).T
-    every, spelt, word = of(0), of(1), of(2)
-    facts = np.array([[n.sum(), (n > 0).sum(), (n == 1).sum(), (n == 2).sum()] for n in word[1]])
-    model = toxicity.Model(every[0], every[1][0], *spelt, word[0], word[1], facts)
-    for c in (0, 1):
-        sums = np.exp(model.spelt[c].astype(float)).reshape(-1, 32).sum(axis=1)
-        assert np.allclose(sums, 1, atol=0.02)
-
-
 def test_phrases_are_greedy_longest_matches():
     rng = np.random.default_rng(9)
     for _ in range(40):
