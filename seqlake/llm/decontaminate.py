@@ -10,12 +10,15 @@ are compared directly. The search advances thousands of lanes of the buffer in
 step, so that each table access is one vector operation.
 
 The benchmark is a stated query set; only it is sent to the executors. Up to
-``MOST_BYTES`` it goes as one search, whose tables take about 160 times its bytes in
-a worker, and documents are read once and never shuffled. A larger one is dealt into
-parts of at most that size by the hash of its items. Documents are then searched for
-one part at a time, and only the places of hits are brought together.
-
-Defined cases: null or wordless texts have no words, no hits and no items, and are
+``MOST_BYTES`` it goes as one search, which each worker builds once for all its tasks;
+windows are places in the benchmark's own text, so its tables take about 16 times its
+bytes and at most 16 MB for each shift table. Documents are then read once and never
+shuffled. A larger benchmark is dealt into parts of at most that size by the hash of its
+items. Documents are searched for one part at a time, and of all parts but the first
+only documents with hits are kept, and brought together.
+
+Defined cases: very long texts are searched whole; other columns are ignored, whatever
+their names, and an empty table gives an empty result; null or wordless texts have no words, no hits and no items, and are
 not contaminated; a wordless item gives no window; items that repeat count once by
 item_id, a null item_id under the empty string; an empty benchmark hits nothing; a
 single item larger than a part is a part of its own.
@@ -36,7 +39,7 @@ from . import common
 
 WINDOW = 13
 SHARE = 20
-MOST_BYTES = 4 << 20
+MOST_BYTES = 8 << 20
 LANE = 2048
 END = 0xFF
 #: A byte of a word stands for itself (A-Z lower-cased), any other becomes a space; 0xFF, never in UTF-8, ends a document.
@@ -58,27 +61,24 @@ def loads(buffer: bytes | np.ndarray, n: int) -> np.ndarray:
 
 
 class Group:
-    """Shift table and buckets of patterns of similar length."""
+    """Shift table and buckets of patterns of similar length. begin, end: their places in the benchmark's text."""
 
-    def __init__(self, patterns: list[bytes], ids: list[int]):
-        self.m = min(map(len, patterns))
+    def __init__(self, text: bytes, begin: np.ndarray, end: np.ndarray, ids: np.ndarray):
+        self.begin, self.end, self.ids = begin, end, ids
+        self.m = int((end - begin).min())
         self.block = 8 if self.m >= 16 else min(self.m, 4)
         self.mask = np.uint64((1 << (8 * self.block)) - 1)
-        heads = np.frombuffer(b"".join(p[: self.m] + bytes(8) for p in patterns), np.uint8).reshape(len(patterns), self.m + 8)
+        words = loads(text, len(text) - 8)
         last = self.m - self.block
-        self.bits = min(24, max(16, int(len(patterns) * (last + 1) * 8).bit_length()))
-        self.shift = np.full(1 << self.bits, last + 1, np.int32)
+        self.bits = min(24, max(16, int(len(begin) * (last + 1) * 8).bit_length()))
+        # A shift that is too short only costs a step.
+        self.shift = np.full(1 << self.bits, min(255, last + 1), np.uint8)
         for j in range(last + 1):
-            self.shift[self.slot(self._column(heads, j))] = last - j
-        suffix, prefix = self._column(heads, last), self._column(heads, 0)
-        keys = self.key(prefix, suffix)
-        order = np.argsort(keys, kind="stable")
-        self.keys, first = np.unique(keys[order], return_index=True)
-        bounds = [*first.tolist(), len(order)]
-        self.buckets = [[(patterns[i], ids[i]) for i in order[a:b]] for a, b in zip(bounds, bounds[1:])]
-
-    def _column(self, heads: np.ndarray, j: int) -> np.ndarray:
-        return np.ascontiguousarray(heads[:, j : j + 8]).view("<u8").ravel() & self.mask
+            self.shift[self.slot(words[begin + j] & self.mask)] = min(255, last - j)
+        keys = self.key(words[begin] & self.mask, words[begin + last] & self.mask)
+        self.order = np.argsort(keys, kind="stable")
+        self.keys, first = np.unique(keys[self.order], return_index=True)
+        self.bounds = np.r_[first, len(keys)]
 
     def slot(self, block: np.ndarray) -> np.ndarray:
         return (block * _MIX) >> np.uint64(64 - self.bits)
@@ -87,14 +87,14 @@ class Group:
     def key(prefix: np.ndarray, suffix: np.ndarray) -> np.ndarray:
         return (prefix * _MIX) ^ (suffix * _MIX2)
 
-    def search(self, text: bytes, words: np.ndarray, n: int) -> list[tuple[int, int]]:
+    def search(self, own: bytes, text: bytes, words: np.ndarray, n: int) -> list[tuple[int, int]]:
         """(place, pattern id) of all occurrences in the first n bytes."""
         at = np.arange(0, n, LANE)
         stop = np.minimum(at + LANE, n - self.m + 1)
         at, stop = at[at < stop], stop[at < stop]
         last, found = self.m - self.block, []
         while len(at):
-            ahead = self.shift[self.slot(words[at + last] & self.mask)]
+            ahead = self.shift[self.slot(words[at + last] & self.mask)].astype(np.int64)
             if len(hit := at[ahead == 0]):
                 found.append(hit)
             at = at + np.maximum(ahead, 1)
@@ -107,24 +107,42 @@ class Group:
         bucket = np.searchsorted(self.keys, keys)
         bucket[bucket == len(self.keys)] = 0
         right = self.keys[bucket] == keys
-        return [(s, i) for s, b in zip(place[right].tolist(), bucket[right].tolist(), strict=True) for p, i in self.buckets[b] if text.startswith(p, s)]
+        out = []
+        for s, b in zip(place[right].tolist(), bucket[right].tolist(), strict=True):
+            for i in self.order[self.bounds[b] : self.bounds[b + 1]].tolist():
+                if text.startswith(own[self.begin[i] : self.end[i]], s):
+                    out.append((s, int(self.ids[i])))
+        return out
+
+
+def folded(texts: list[bytes]) -> tuple[bytes, int, np.ndarray, np.ndarray]:
+    """The texts one after the other, a space around every word and 0xFF after every text; its length without what is added
+    at the end; where each word begins, and the number of words before each text."""
+    raw = np.frombuffer((b" " + b" \xff ".join(texts) + b" \xff ").translate(_FOLD), np.uint8)
+    space = raw == 32
+    space[1:] &= space[:-1]
+    space[0] = False
+    kept = raw[~space]
+    begins = np.flatnonzero((kept[:-1] == 32) & (kept[1:] != 32) & (kept[1:] != END)) + 1
+    bounds = np.r_[0, np.searchsorted(begins, np.flatnonzero(kept == END))]
+    return kept.tobytes() + b"\xff" * 16, len(kept), begins, bounds
 
 
 class Searcher:
     """All windows of a benchmark. items: (item_id as text, text)."""
 
     def __init__(self, items: list[tuple[str, str | None]], size: int = WINDOW):
-        of: dict[bytes, set[str]] = {}
-        for item, text in items:
-            for w in windows(text, size):
-                of.setdefault(w, set()).add(item)
-        patterns = list(of)
-        self.items = [sorted(of[p]) for p in patterns]
-        self.n_words = [p.count(b" ") - 1 for p in patterns]
-        by_length: dict[int, list[int]] = {}
-        for i, p in enumerate(patterns):
-            by_length.setdefault(sum(len(p) >= x for x in (8, 16, 32)), []).append(i)
-        self.groups = [Group([patterns[i] for i in ids], ids) for ids in by_length.values()]
+        self.names = [item for item, _ in items]
+        self.text, n, begins, bounds = folded([(t or "").encode() for _, t in items])
+        ends = np.flatnonzero((np.frombuffer(self.text, np.uint8, n - 1, 1) == 32) & ~np.isin(np.frombuffer(self.text, np.uint8, n - 1), (32, END))) + 1
+        words = np.diff(bounds)[: len(items)]
+        count = np.where(words > 0, np.maximum(1, words - size + 1), 0)
+        self.item = np.repeat(np.arange(len(items)), count)
+        first = np.repeat(bounds[: len(items)], count) + np.arange(len(self.item)) - np.repeat(np.cumsum(count) - count, count)
+        self.n_words = np.minimum(size, words)[self.item]
+        begin, end = begins[first] - 1, ends[first + self.n_words - 1] + 1
+        kind = np.digitize(end - begin, (8, 16, 32))
+        self.groups = [Group(self.text, begin[mine], end[mine], mine) for k in range(4) if len(mine := np.flatnonzero(kind == k))]
 
     def scan(self, texts: list[bytes]) -> list[tuple[int, int, set[str]]]:
         """(words, hit words, items) of each text."""
@@ -132,27 +150,19 @@ class Searcher:
 
     def places(self, texts: list[bytes]) -> list[tuple[int, list[tuple[int, int]], set[str]]]:
         """(words, runs of hit words, items) of each text."""
-        raw = np.frombuffer((b" " + b" \xff ".join(texts) + b" \xff ").translate(_FOLD), np.uint8)
-        space = raw == 32
-        space[1:] &= space[:-1]
-        space[0] = False
-        kept = raw[~space]
-        n = len(kept)
-        text = kept.tobytes() + b"\xff" * 16
+        text, n, begins, bounds = folded(texts)
         words = loads(text, n + 8)
-        begins = np.flatnonzero((kept[:-1] == 32) & (kept[1:] != 32) & (kept[1:] != END)) + 1
-        bounds = np.r_[0, np.searchsorted(begins, np.flatnonzero(kept == END))]
-        hits = [x for g in self.groups for x in g.search(text, words, n)]
+        hits = [x for g in self.groups for x in g.search(self.text, text, words, n)]
         items: list[set[str]] = [set() for _ in texts]
         covered = np.zeros(len(begins) + 1, np.int64)
         if hits:
             place, which = np.array(hits).T
             word = np.searchsorted(begins, place + 1)
             np.add.at(covered, word, 1)
-            np.subtract.at(covered, word + np.array(self.n_words)[which], 1)
+            np.subtract.at(covered, word + self.n_words[which], 1)
             docs = np.searchsorted(bounds, word, "right") - 1
             for d, i in set(zip(docs.tolist(), which.tolist(), strict=True)):
-                items[d].update(self.items[i])
+                items[d].add(self.names[self.item[i]])
         hit = np.cumsum(covered[:-1]) > 0
         edge = np.zeros(len(hit) + 1, bool)
         edge[bounds] = True  # words of two documents are never one run
@@ -184,14 +194,11 @@ def parts(benchmark: DataFrame, most_bytes: int = MOST_BYTES) -> list[DataFrame]
 
 def scanner(part: DataFrame, size: int = WINDOW):
     """A function of a text column to struct<n_words, n_hit, runs, items>, for one part of a benchmark."""
-    sent = part.sparkSession.sparkContext.broadcast([tuple(r) for r in part.collect()])
-    ready: dict = {}
+    sent = part.sparkSession.sparkContext.broadcast(common.Recipe(Searcher, [tuple(r) for r in part.collect()], size))
 
     @arrow_udf("struct<n_words: long, n_hit: long, runs: array<struct<begin: long, end: long>>, items: array<string>>")
     def scan(text: pa.Array) -> pa.Array:
-        if "it" not in ready:
-            ready["it"] = Searcher(sent.value, size)
-        rows = [r for part in common.chunks(text) for r in ready["it"].places(part)]
+        rows = [r for part in common.chunks(text) for r in sent.value.made().places(part)]
         columns = [
             pa.array([r[0] for r in rows], pa.int64()),
             pa.array([sum(b - a for a, b in r[1]) for r in rows], pa.int64()),
@@ -209,8 +216,9 @@ _UNION = """aggregate(array_sort(flatten(collect_list(x.runs))), named_struct('n
 
 
 def _found_in_parts(texts: DataFrame, given: list[DataFrame]) -> DataFrame:
-    """texts: rid, text (stored). rid, x: what all parts find together; a group has one row for each part."""
-    found = reduce(DataFrame.unionByName, [common.stored(texts.select("rid", scanner(p)(F.col("text")).alias("x")), "part") for p in given])
+    """texts: rid, text (stored). rid, x: what all parts find together; a group has a row of the first part, and one of each other with hits."""
+    every = [texts.select("rid", scanner(p)(F.col("text")).alias("x")) for p in given]
+    found = reduce(DataFrame.unionByName, [common.stored(rows if i == 0 else rows.where("x.n_hit > 0"), "part") for i, rows in enumerate(every)])
     together = found.groupBy("rid").agg(F.max("x.n_words").alias("n_words"), F.expr(_UNION).alias("n_hit"), F.array_distinct(F.flatten(F.collect_list("x.items"))).alias("items"))
     return together.select("rid", F.struct("n_words", "n_hit", "items").alias("x"))
 

@@ -1,21 +1,27 @@
 """Main text of web pages from parser events and text-to-tag ratios.
 
 The standard library's parser streams a page's events; block elements cut the page
-into lines. Elements that are never content by their name, role or class (menus,
-forms, scripts, adverts and the like) are left out as they stream by; an outermost article is
-never left out by its class or id, and inside one only whole class names count. Where a page has
-an ``article`` or ``main``, the text is every line inside it, short ones in lists and
-tables too. Else each line has a text-to-tag ratio; the ratios are smoothed along the
-page with a Gaussian, and a threshold that splits the smoothed ratios into two clusters
-marks content lines. Content regions are then the blocks of the smallest container that
-holds most of the marked text, without inner containers in which no line is marked.
-
-Defined cases: a null or empty page gives the empty text; broken markup is read as
-far as the parser goes, unclosed elements ending with what encloses them or where HTML
-ends them (within their scope: an item in its list, a cell in its table), and a tag that
-the page's end cuts off is no text; the time for a page follows its length however
-deep it is nested; ties between containers go to the inner one; repeated rows give the same text; other
-columns are ignored.
+into lines. Each line has a text-to-tag ratio. A line inside an element that is beside the
+article by its name, role or class (menus, forms, adverts, comments and the like) has its
+ratio times DAMPING. The ratios are smoothed along the page with a Gaussian, and a
+threshold that splits the smoothed ratios into two clusters marks content lines. The
+content region is the smallest container that holds most of the marked text which is not
+beside the article.
+
+An ``article`` or ``main`` is evidence, too: a region inside one is widened to the
+outermost one around it, and of a region with some inside it only these are taken; there
+every line counts, short ones in lists and tables too. In a region without any, inner
+containers in which no line is marked are left out. Lines beside the article are never
+part of the text; an outermost article is never beside itself by its class or id, and
+inside one only whole class names count.
+
+Defined cases: a null or empty page gives the empty text; a page of one line is that
+line; very long pages are read whole; broken markup is read as far as the parser goes,
+unclosed elements ending with what encloses them or where HTML ends them (within their
+scope: an item in its list, a cell in its table), and a tag that the page's end cuts off
+is no text; the time for a page follows its length however deep it is nested; ties between
+containers go to the inner one; repeated rows give the same text; other columns are
+ignored, whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -33,10 +39,14 @@ from . import common
 
 SIGMA = 1.0
 MASS = 0.8
+DAMPING = 0.1
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 CONTAINER = frozenset("article main section div td body blockquote ul ol table".split())
-NEVER = frozenset("head script style noscript template nav footer aside form button select option textarea input iframe svg canvas object dialog menu audio video map".split())
+#: Elements whose text is not shown as text, and such as are beside an article.
+SILENT = frozenset("head script style noscript template button select option textarea input iframe svg canvas object audio video map".split())
+AROUND = frozenset("nav footer aside form dialog menu".split())
+NEVER = SILENT | AROUND
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 #: Words that name a part beside the article in a class or id; inside an article, only in names made of nothing but them and PARTS.
 BESIDE = frozenset(
@@ -95,7 +105,7 @@ def _beside(tag: str, attributes: list[tuple[str, str | None]], inside: bool) ->
 
 
 class Lines(HTMLParser):
-    """The page as lines: text, tags, the containers around it, and whether it lies in an article."""
+    """The page as lines: text, tags, the container around it, and whether it lies in an element beside the article."""
 
     def __init__(self, trusting: bool = False):
         super().__init__(convert_charrefs=True)
@@ -103,18 +113,20 @@ class Lines(HTMLParser):
         self.stack: list[str] = []
         self.within: Counter[str] = Counter()
         self.seen: dict[str, list[str]] = {scope: [] for scope in SCOPES}
-        self.skipping: int | None = None
+        #: Depths of the outermost open elements without text, and beside the article.
+        self.silent: int | None = None
+        self.beside: int | None = None
         self.by_name = self.missed = False
         self.boxes: list[tuple[int, int]] = []
         self.parents: list[int] = []
         self.article: list[bool] = []
-        self.lines: list[tuple[str, int, int]] = []
+        self.lines: list[tuple[str, int, int, bool]] = []
         self.words: list[str] = []
         self.tags = 0
 
     def flush(self) -> None:
         if text := " ".join("".join(self.words).split()):
-            self.lines.append((text, self.tags, self.boxes[-1][1] if self.boxes else -1))
+            self.lines.append((text, self.tags, self.boxes[-1][1] if self.boxes else -1, self.beside is not None))
             self.tags = 0
         self.words.clear()
 
@@ -123,7 +135,7 @@ class Lines(HTMLParser):
         for scope, kinds in ENDS.get(tag, ()):
             if (seen := self.seen[scope]) and seen[-1] in kinds:
                 self.handle_endtag(seen[-1], counted=False)
-        if tag in BLOCK and self.skipping is None:
+        if tag in BLOCK and self.silent is None:
             self.flush()
         elif tag == "br":
             self.words.append(" ")
@@ -133,19 +145,29 @@ class Lines(HTMLParser):
         self.within[tag] += 1
         for scope in WATCHED.get(tag, ()):
             self.seen[scope].append(tag)
-        if self.skipping is not None:
+        if self.silent is not None:
+            return
+        if self.beside is not None:
             self.missed |= tag in ("article", "main") and not self.by_name and not _beside(tag, attrs, True)
-        else:
-            box = self.boxes[-1][1] if self.boxes else -1
-            inside = box >= 0 and self.article[box]
-            self.by_name = tag in NEVER or (tag == "header" and not inside)
-            if self.by_name or (attrs and tag not in ("html", "body") and (inside or not self.trusting) and _beside(tag, attrs, inside)):
+            if tag in SILENT:
+                self.silent = len(self.stack)
+            return
+        box = self.boxes[-1][1] if self.boxes else -1
+        inside = box >= 0 and self.article[box]
+        by_name = tag in AROUND or (tag == "header" and not inside)
+        if tag in SILENT:
+            self.silent = len(self.stack)
+        elif by_name or (attrs and tag not in ("html", "body") and (inside or not self.trusting) and _beside(tag, attrs, inside)):
+            self.by_name = by_name
+            if tag in BLOCK or by_name:
                 self.flush()
-                self.skipping = len(self.stack)
-            elif tag in CONTAINER:
-                self.parents.append(box)
-                self.article.append(inside or tag in ("article", "main"))
-                self.boxes.append((len(self.stack), len(self.parents) - 1))
+                self.beside = len(self.stack)
+            else:
+                self.silent = len(self.stack)  # in the middle of a line
+        elif tag in CONTAINER:
+            self.parents.append(box)
+            self.article.append(inside or tag in ("article", "main"))
+            self.boxes.append((len(self.stack), len(self.parents) - 1))
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
@@ -154,7 +176,7 @@ class Lines(HTMLParser):
 
     def handle_endtag(self, tag: str, counted: bool = True) -> None:
         self.tags += counted
-        if tag in BLOCK and self.skipping is None:
+        if tag in BLOCK and self.silent is None:
             self.flush()
         if not self.within[tag]:
             return
@@ -163,9 +185,11 @@ class Lines(HTMLParser):
             self.within[last] -= 1
             for scope in WATCHED.get(last, ()):
                 self.seen[scope].pop()
-            if self.skipping is not None and len(self.stack) < self.skipping:
-                self.skipping = None
-                self.words.clear()
+            if self.silent is not None and len(self.stack) < self.silent:
+                self.silent = None
+            if self.beside is not None and len(self.stack) < self.beside:
+                self.flush()
+                self.beside = None
             while self.boxes and self.boxes[-1][0] > len(self.stack):
                 self.flush()
                 self.boxes.pop()
@@ -173,7 +197,7 @@ class Lines(HTMLParser):
                 break
 
     def handle_data(self, data: str) -> None:
-        if self.skipping is None:
+        if self.silent is None:
             self.words.append(data)
 
 
@@ -213,38 +237,66 @@ def _read(html: str, trusting: bool) -> Lines:
     return page
 
 
+def content(page: Lines) -> np.ndarray:
+    """Which lines the ratios mark."""
+    ratio = np.array([len(text) / max(1, tags) * (DAMPING if beside else 1) for text, tags, _, beside in page.lines])
+    score = smoothed(ratio)
+    return score >= threshold(score)
+
+
+def region(page: Lines, marked: list[bool]) -> tuple[int, list[bool]]:
+    """The smallest container with most of the marked text (-1: none but the page), and which containers hold marked text."""
+    # A box comes after the one around it: sums go up in reverse order.
+    mass, holds, total = [0] * len(page.parents), [False] * len(page.parents), 0
+    for (text, _, box, _), good in zip(page.lines, marked, strict=True):
+        if good:
+            total += len(text)
+            if box >= 0:
+                mass[box] += len(text)
+                holds[box] = True
+    for box in range(len(mass) - 1, -1, -1):
+        if holds[box] and (above := page.parents[box]) >= 0:
+            mass[above] += mass[box]
+            holds[above] = True
+    return max((b for b, m in enumerate(mass) if holds[b] and m >= MASS * total), default=-1), holds
+
+
+def chosen(page: Lines) -> list[str]:
+    """The lines of the article."""
+    own = [not beside for *_, beside in page.lines]
+    marked = [m and o for m, o in zip(content(page).tolist(), own, strict=True)]
+    at, holds = region(page, marked)
+    within = [False] * len(page.parents)
+    for box, above in enumerate(page.parents):
+        within[box] = at < 0 or box == at or (above >= 0 and within[above])
+    articles = {box for (_, _, box, _), o in zip(page.lines, own, strict=True) if o and box >= 0 and page.article[box]}
+    if at >= 0 and page.article[at]:
+        while (above := page.parents[at]) >= 0 and page.article[above]:
+            at = above
+        kept = [False] * len(page.parents)
+        for box, above in enumerate(page.parents):
+            kept[box] = box == at or (above >= 0 and kept[above])
+    elif inner := [box for box in articles if within[box]]:
+        kept = [box in inner for box in range(len(page.parents))]
+    elif any(m and box in articles for (_, _, box, _), m in zip(page.lines, marked, strict=True)):
+        kept = [box in articles for box in range(len(page.parents))]  # little text, but marked: the article, beside more of something else
+    else:
+        kept = [False] * len(page.parents)
+        for box, above in enumerate(page.parents):
+            kept[box] = box == at or (holds[box] and (kept[above] if above >= 0 else at < 0))
+        return [text for (text, _, box, _), o in zip(page.lines, own, strict=True) if o and (kept[box] if box >= 0 else at < 0)]
+    return [text for (text, _, box, _), o in zip(page.lines, own, strict=True) if o and box >= 0 and kept[box]]
+
+
 def main_text(html: str | None) -> str:
     if not html:
         return ""
     page = _read(html, False)
-    lines = [x for x in page.lines if x[2] >= 0 and page.article[x[2]]]
-    if not lines and page.missed:  # a wrapper named after the sidebar beside it holds the article
-        page = _read(html, True)
-        lines = [x for x in page.lines if x[2] >= 0 and page.article[x[2]]]
-    if lines:
-        return "\n".join(text for text, _, _ in lines)
-    lines = page.lines
-    if len(lines) < 2:
-        return lines[0][0] if lines else ""
-    size = np.array([len(t) for t, _, _ in lines], float)
-    score = smoothed(size / np.maximum(1, [n for _, n, _ in lines]))
-    content = score >= threshold(score)
-    # A box comes after the one around it: sums go up in reverse order, leave to be kept goes down in order.
-    mass, marked = [0.0] * len(page.parents), [False] * len(page.parents)
-    for (_, _, box), n, is_content in zip(lines, size.tolist(), content.tolist(), strict=True):
-        if is_content and box >= 0:
-            mass[box] += n
-            marked[box] = True
-    for box in range(len(mass) - 1, -1, -1):
-        if marked[box] and (above := page.parents[box]) >= 0:
-            mass[above] += mass[box]
-            marked[above] = True
-    total = float(size[content].sum())
-    region = max((b for b, m in enumerate(mass) if marked[b] and m >= MASS * total), default=-1)
-    kept = [False] * len(mass)
-    for box, above in enumerate(page.parents):
-        kept[box] = box == region or (marked[box] and (kept[above] if above >= 0 else region < 0))
-    return "\n".join(text for text, _, box in lines if (kept[box] if box >= 0 else region < 0))
+    if page.missed and not any(box >= 0 and page.article[box] and not beside for _, _, box, beside in page.lines):
+        page = _read(html, True)  # a wrapper named after the sidebar beside it holds the article
+    if len(page.lines) < 2:
+        return "".join(text for text, _, _, beside in page.lines if not beside)
+    return "\n".join(chosen(page))
 
 
 @common.on_arrow("string")

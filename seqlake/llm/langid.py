@@ -5,8 +5,10 @@ document with it takes, again and again, the longest phrase that the automaton
 knows; the language whose text needs the fewest phrases for each letter wins. The
 automata's transitions are integer tables, and a batch of documents is parsed in
 lanes of ``LANE`` letters that step together, so whole texts are read at the cost of
-a few vector operations a letter and language. A lane's end cuts a phrase for every
-language alike.
+a few vector operations a letter and language. Where a lane ends the phrase goes on: the
+next lane is parsed again from the state that this one ends in, until both parses begin
+a phrase at the same letter, from where on they are one. The phrases are those of an
+unbroken parse.
 
 Each language learns from a sample of ``SAMPLE_DOCS`` documents, drawn by the hash of
 their ids and texts from the learning folds (rows alike in both are one), of which the automaton reads ``EACH``
@@ -19,8 +21,9 @@ language with fewer documents gives them all, and more letters of each, up to
 letter is a space.
 
 Defined cases: null texts and texts without letters are ``und`` with score 0; so is
-every text if nothing was learnt; ties go to the language that sorts first; repeated
-rows are predicted alike; other columns are ignored.
+every text if nothing was learnt; very long texts are read whole; ties go to the language
+that sorts first; repeated rows are predicted alike; other columns are ignored, whatever
+their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -119,22 +122,50 @@ def automaton(signs: np.ndarray) -> np.ndarray:
     return table
 
 
-def phrases(table: np.ndarray, grid: np.ndarray, live: np.ndarray) -> np.ndarray:
-    """Longest-match phrases of each lane. grid: (step, lane) signs; live: lanes still running at each step, the longest first."""
+def _step(table: np.ndarray, flat: np.ndarray, state: np.ndarray, sign: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The next states, and where a phrase begins: after a state that is the start, or where the open phrase can't go on.
+
+    A sign that the language has nowhere is a phrase of its own."""
+    to = flat[state * SIGNS + sign]
+    stuck = to < 0
+    return np.where(stuck, np.maximum(table[0, sign], 0), to), stuck | (state == 0)
+
+
+def phrases(table: np.ndarray, grid: np.ndarray, live: np.ndarray, follows: np.ndarray) -> np.ndarray:
+    """Longest-match phrases that begin in each lane. grid: (step, lane) signs; live: lanes still running at each step, the
+    longest first; follows: the lane that a lane goes on from, or -1."""
     flat = table.ravel()
-    count = np.zeros(grid.shape[1], np.int64)
-    state = np.zeros(grid.shape[1], np.int32)
+    lanes = grid.shape[1]
+    begins = np.zeros(grid.shape, bool)
+    state = np.zeros(lanes, np.int64)
     for step, n in enumerate(live.tolist()):
-        sign = grid[step, :n]
-        to = flat[state[:n] * SIGNS + sign]
-        stuck = to < 0
-        if stuck.any():
-            # The open phrase ends; the sign begins the next one, or is one of its own if the language has none like it.
-            start = table[0, sign]
-            count[:n] += (stuck & (state[:n] > 0)).astype(np.int64) + (stuck & (start < 0))
-            to = np.where(stuck, np.maximum(start, 0), to)
-        state[:n] = to
-    return count + (state > 0)
+        state[:n], begins[step, :n] = _step(table, flat, state[:n], grid[step, :n])
+    alone, ended, length = begins.sum(axis=0), state.copy(), _lengths(live, lanes)
+    count, leads = alone.copy(), np.full(lanes, -1)
+    leads[follows[follows >= 0]] = np.flatnonzero(follows >= 0)
+    anew = np.flatnonzero(follows >= 0)
+    while len(anew):
+        at, now, extra, step, changed = anew, state[follows[anew]], np.zeros(len(anew), np.int64), 0, []
+        while len(at):
+            now, begun = _step(table, flat, now, grid[step, at])
+            known = begins[step, at]
+            extra = extra + begun - known
+            met, step = begun & known, step + 1
+            done = met | (length[at] == step)
+            if done.any():
+                lane, end = at[done], np.where(met, ended[at], now)[done]
+                count[lane] = alone[lane] + extra[done]
+                changed.append(leads[lane[end != state[lane]]])  # what follows them goes on from elsewhere than was thought
+                state[lane] = end
+            at, now, extra = at[~done], now[~done], extra[~done]
+        anew = np.concatenate(changed)
+        anew = anew[anew >= 0]
+    return count
+
+
+def _lengths(live: np.ndarray, lanes: int) -> np.ndarray:
+    """Of each lane how many steps it runs."""
+    return len(live) - np.searchsorted(live[::-1], np.arange(lanes), "right")
 
 
 class Recogniser:
@@ -154,12 +185,15 @@ class Recogniser:
         begin = starts[doc] + (np.arange(len(doc)) - np.repeat(np.cumsum(lanes) - lanes, lanes)) * LANE
         length = np.minimum(LANE, (starts + sizes)[doc] - begin)
         order = np.argsort(-length, kind="stable")
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        follows = np.where(np.r_[-1, doc[:-1]] == doc, np.r_[-1, place[:-1]], -1)[order] if len(doc) else doc
         doc, begin, length = doc[order], begin[order], length[order]
         steps = np.arange(int(length[0]) if len(length) else 0)
         live = len(length) - np.searchsorted(length[::-1], steps, "right")
         padded = np.r_[signs, np.zeros(LANE, np.uint8)]
         grid = padded[steps[:, None] + begin[None, :]] if len(length) else np.zeros((0, 0), np.uint8)
-        cost = np.stack([np.bincount(doc, phrases(t, grid, live), len(texts)) for t in self.tables], axis=1)
+        cost = np.stack([np.bincount(doc, phrases(t, grid, live, follows), len(texts)) for t in self.tables], axis=1)
         rate = cost / np.maximum(1, sizes)[:, None]
         best = rate.argmin(axis=1)
         weight = np.exp(-SHARPNESS * (rate - rate.min(axis=1, keepdims=True)))

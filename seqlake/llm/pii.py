@@ -1,21 +1,25 @@
 """Personal data by weak supervision.
 
-Four kinds of spans: email, ip, card, phone. Fixed patterns give the base spans,
-which always stand. Wider patterns propose more candidates (written-out addresses,
-telephone numbers without a plus sign). On every candidate three labellers vote for,
-against or not at all: the strict pattern, gazetteers (mail domains, calling codes,
-card prefixes, addresses that are no one's), and the words and signs around it. Over
-the counts of vote patterns of all documents, expectation-maximisation estimates how
-reliable each labeller is for each kind, and a posterior for each pattern. A
-logistic classifier of the candidate's features learns from these posteriors and
-decides on the candidates beyond the base.
+Four kinds of spans have fixed patterns: email, ip, card, phone. These base spans always
+stand. Wider patterns propose more candidates of each (written-out addresses of either
+sort, IPv6, cards inside longer runs of digits, telephone numbers without a plus sign)
+and of a fifth kind, secret (values that are assigned to a name, tokens of known make).
+On every candidate three labellers vote for, against or not at all: the pattern and its
+checks, gazetteers (mail domains, calling codes, card prefixes, addresses that are no
+one's, names of secrets), and the words and signs around it. Over the counts of vote
+patterns of all documents, expectation-maximisation estimates how reliable each labeller
+is for each kind, and a posterior for each pattern. A logistic classifier of the
+candidate's features learns from these posteriors and decides on the candidates beyond
+the base.
 
 What reaches the driver are counts of vote and feature patterns, of which there are
 a fixed number.
 
 Defined cases: a null text counts as empty; documents without spans have zero counts
-and the digest of the empty text; places are code points; repeated rows give the
-same spans; other columns are ignored; an empty table gives an empty result.
+and the digest of the empty text; very long texts are read whole; places are code
+points; of candidates of a kind that overlap the first stands, and none stands inside a
+base span; repeated rows give the same spans; other columns are ignored, whatever their
+names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -33,6 +37,7 @@ from pyspark.sql.functions import arrow_udf
 from . import common
 
 KINDS = ("email", "ip", "card", "phone")
+ALL_KINDS = (*KINDS, "secret")
 AROUND = 40
 CUT = 0.5
 _LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
@@ -44,13 +49,21 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile("[0-9]")
 _SPELT_EMAIL = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64} ?(?:\(at\)|\[at\]|\{at\}| at ) ?[A-Za-z0-9-]{1,63}(?: ?(?:\(dot\)|\[dot\]|\{dot\}| dot |\.) ?[A-Za-z0-9-]{2,63}){1,6}")
 _LOCAL_PHONE = re.compile(r"(?<![0-9A-Za-z+.-])(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9A-Za-z]|[.-][0-9])")
-_MARKS = ("(at)", "[at]", "{at}", "(dot)", "[dot]", "{dot}", " dot ")
+_SPELT_IP = re.compile(r"(?<![0-9.])[0-9]{1,3}(?: ?(?:\(dot\)|\[dot\]|\[\.\]|\(\.\)) ?[0-9]{1,3}){3}(?![0-9])")
+_LONG_IP = re.compile(r"(?<![0-9A-Za-z:.])(?:[0-9a-fA-F]{1,4}:){7}[0-9a-fA-F]{1,4}(?![0-9A-Za-z:])|(?<![0-9A-Za-z:.])(?:[0-9a-fA-F]{1,4}:){1,6}(?::[0-9a-fA-F]{1,4}){1,6}(?![0-9A-Za-z:])")
+_CARD_SHAPE = re.compile(r"(?<![0-9])(?:[0-9]{4}([ -])[0-9]{4}\1[0-9]{4}\1[0-9]{4}|3[47][0-9]{2}([ -]?)[0-9]{6}\2[0-9]{5})(?![0-9])")
+_ASSIGNED = re.compile(r"[=:] ?[\"']?([A-Za-z0-9_+/.~-]{8,200})")
+_KNOWN_TOKEN = re.compile(r"(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{16}|gh[opsru]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{20,}|xox[abprs]-[A-Za-z0-9-]{10,}|eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]+)(?![A-Za-z0-9])")
+_NAME = re.compile(r"[A-Za-z][A-Za-z0-9_.-]{0,40}[\"']?[ ]?$")
+_MARKS = ("[.]", "(.)", "(at)", "[at]", "{at}", "(dot)", "[dot]", "{dot}", " dot ")
 #: Gazetteers.
 TOP_DOMAINS = frozenset("com org net edu gov info io de fr es uk eu us ca au ch at it nl be".split())
 CALLING_CODES = ("1", "7", "20", "27", "30", "31", "32", "33", "34", "36", "39", "40", "41", "43", "44", "45", "46", "47", "48", "49", "52", "54", "55", "56", "57", "60", "61", "62", "63", "64", "65", "66", "81", "82", "84", "86", "90", "91", "92", "351", "352", "353", "354", "358", "420", "421")
 CARD_PREFIXES = ("4", "51", "52", "53", "54", "55", "34", "37", "6011", "65", "35", "22", "23", "24", "25", "26", "27")
 NO_ONES = ("0.", "10.", "127.", "192.168.", "169.254.", "255.")
+SECRET_NAMES = ("password", "passwd", "passwort", "pwd", "token", "secret", "apikey", "api_key", "api-key", "access_key", "private_key", "auth", "bearer", "credential", "contrase", "clave", "mot_de_passe")
 CUES = {
+    "secret": ("password", "token", "secret", "key", "login", "credential", "auth"),
     "email": ("mail", "contact", "write", "address", "courriel", "correo", "@"),
     "ip": ("ip", "host", "server", "login", "from", "address"),
     "card": ("card", "visa", "credit", "payment", "carte", "karte", "tarjeta"),
@@ -95,17 +108,43 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return out
 
 
-def more_spans(text: str) -> list[tuple[str, int, int]]:
-    """Candidates beyond the base patterns."""
+def more_spans(text: str) -> list[tuple[str, int, int, int]]:
+    """Candidates beyond the base patterns, and what their own checks say: for (1), against (-1) or nothing (0)."""
     out = []
     if any(m in text for m in _MARKS):
-        out += [("email", m.start(), m.end()) for m in _SPELT_EMAIL.finditer(text)]
+        out += [("email", m.start(), m.end(), 0) for m in _SPELT_EMAIL.finditer(text)]
+        out += [("ip", m.start(), m.end(), 1 if all(int(x) <= 255 for x in re.findall("[0-9]+", m[0])) else -1) for m in _SPELT_IP.finditer(text)]
     if _DIGIT.search(text):
-        out += [("phone", m.start(), m.end()) for m in _LOCAL_PHONE.finditer(text)]
+        out += [("card", m.start(), m.end(), 1 if luhn("".join(c for c in m[0] if c.isdigit())) else -1) for m in _CARD_SHAPE.finditer(text)]
+        out += [("phone", m.start(), m.end(), 0) for m in _LOCAL_PHONE.finditer(text)]
+        if ":" in text:
+            out += [("ip", m.start(), m.end(), 1 if "::" not in m[0] or m[0].count(":") > 2 else 0) for m in _LONG_IP.finditer(text)]
+        if "=" in text or ":" in text:
+            for m in _ASSIGNED.finditer(text):
+                kinds = {"d" if c.isdigit() else "a" if c.islower() else "A" if c.isupper() else "." for c in m[1]}
+                if "d" in kinds and _NAME.search(text, max(0, m.start() - 44), m.start()):
+                    out.append(("secret", m.start(1), m.end(1), 1 if len(m[1]) >= 12 and kinds & {"a", "A"} else -1 if kinds <= {"d", "."} else 0))
+        out += [("secret", m.start(), m.end(), 1) for m in _KNOWN_TOKEN.finditer(text)]
+    return _first_of_overlapping(out)
+
+
+def _first_of_overlapping(spans: list[tuple[str, int, int, int]]) -> list[tuple[str, int, int, int]]:
+    out, ends = [], dict.fromkeys(ALL_KINDS, 0)
+    for kind, start, end, check in sorted(spans, key=lambda x: (x[1], -x[2])):
+        if start >= ends[kind]:
+            out.append((kind, start, end, check))
+            ends[kind] = end
     return out
 
 
-def _gazetteer(kind: str, span: str) -> int:
+def _gazetteer(kind: str, text: str, start: int, end: int) -> int:
+    span = text[start:end]
+    if kind == "secret":
+        if _KNOWN_TOKEN.fullmatch(span):
+            return 1
+        before = text[max(0, start - AROUND) : start].rstrip(" \"'=:").lower()
+        name = before[len(before.rstrip("abcdefghijklmnopqrstuvwxyz0123456789_.-")) :]
+        return 1 if any(x in name for x in SECRET_NAMES) else -1
     if kind == "email":
         return 1 if re.split(r"[^A-Za-z0-9]+", span)[-1].lower() in TOP_DOMAINS else -1
     if kind == "ip":
@@ -126,9 +165,9 @@ def _context(kind: str, text: str, start: int, end: int) -> int:
     return -1 if tight else 0
 
 
-def votes(kind: str, text: str, start: int, end: int, strict: bool) -> tuple[int, int, int]:
-    """Of the pattern, the gazetteer and the context."""
-    return (1 if strict else 0, _gazetteer(kind, text[start:end]), _context(kind, text, start, end))
+def votes(kind: str, text: str, start: int, end: int, check: int) -> tuple[int, int, int]:
+    """Of the pattern with its checks, the gazetteer and the context."""
+    return (check, _gazetteer(kind, text, start, end), _context(kind, text, start, end))
 
 
 def features(kind: str, text: str, start: int, end: int, v: tuple[int, int, int]) -> tuple[int, ...]:
@@ -144,15 +183,16 @@ def candidates(text: str) -> list[tuple[int, int, int, int, int, int]]:
     taken = sorted((s, e) for _, s, e in base)
     starts = np.array([s for s, _ in taken])
     reach = np.maximum.accumulate([e for _, e in taken]) if taken else np.zeros(0)
-    for strict, spans in ((True, base), (False, more_spans(text))):
-        for kind, s, e in spans:
+    for strict, spans in ((True, [(*x, 1) for x in base]), (False, more_spans(text))):
+        for kind, s, e, check in spans:
             if not strict:
-                before = int(np.searchsorted(starts, e)) if len(starts) else 0
-                if before and reach[before - 1] > s:
+                # Another kind's base span may lie in a secret; else what a base span meets is its.
+                before = int(np.searchsorted(starts, s, "right") if kind == "secret" else np.searchsorted(starts, e)) if len(starts) else 0
+                if before and reach[before - 1] >= (e if kind == "secret" else s + 1):
                     continue
-            v = votes(kind, text, s, e, strict)
+            v = votes(kind, text, s, e, check)
             f = features(kind, text, s, e, v)
-            out.append((KINDS.index(kind), s, e, int(strict), sum((x + 1) * 3**i for i, x in enumerate(v)), sum(x << i for i, x in enumerate(f))))
+            out.append((ALL_KINDS.index(kind), s, e, int(strict), sum((x + 1) * 3**i for i, x in enumerate(v)), sum(x << i for i, x in enumerate(f))))
     return out
 
 
@@ -192,7 +232,7 @@ def fit(found: DataFrame) -> dict[int, np.ndarray]:
     """found: kind, votes, features of all candidates. Logistic weights by kind."""
     rows = found.groupBy("kind", "votes", "features").agg(F.count(F.lit(1)).alias("n")).collect()
     out = {}
-    for k in range(len(KINDS)):
+    for k in range(len(ALL_KINDS)):
         own = [r for r in rows if r["kind"] == k]
         counts = np.zeros(27)
         for r in own:
@@ -218,23 +258,25 @@ def _candidates(text: pa.Array) -> pa.Array:
 
 
 def report(docs: DataFrame) -> DataFrame:
-    """doc_id, n_email, n_ip, n_card, n_phone (of the base), base_sha256, spans."""
+    """doc_id, n_email, n_ip, n_card, n_phone (of the base), base_sha256, spans, n_spans (all), n_secret."""
     found = common.stored(docs.select(F.col("doc_id").alias("doc_id"), _candidates("text").alias("found")), "candidates")
     weights = fit(found.select(F.explode("found").alias("x")).select("x.*"))
     sure = {k: {f for f in range(256) if likely(w, f) >= CUT} for k, w in weights.items()}
 
-    @arrow_udf("struct<base: string, spans: string>")
+    @arrow_udf("struct<base: string, spans: string, n_spans: long, n_secret: long>")
     def written(found: pa.Array) -> pa.Array:
-        base, spans = [], []
+        base, spans, n, secret = [], [], [], []
         for row in found.to_pylist():
             own = [(c["kind"], c["start"], c["end"], c["base"]) for c in row if c["base"] or c["features"] in sure[c["kind"]]]
-            text = lambda cs: ",".join(f"{KINDS[k]}:{s}:{e}" for k, s, e, _ in sorted(cs))
+            text = lambda cs: ",".join(f"{ALL_KINDS[k]}:{s}:{e}" for k, s, e, _ in sorted(cs))
             base.append(text([c for c in own if c[3]]))
             spans.append(text(own))
-        return pa.StructArray.from_arrays([pa.array(base, pa.string()), pa.array(spans, pa.string())], ["base", "spans"])
+            n.append(len(own))
+            secret.append(sum(c[0] == len(KINDS) for c in own))
+        return pa.StructArray.from_arrays([pa.array(base, pa.string()), pa.array(spans, pa.string()), pa.array(n, pa.int64()), pa.array(secret, pa.int64())], ["base", "spans", "n_spans", "n_secret"])
 
     count = [F.expr(f"cast(size(filter(found, c -> c.kind = {k} AND c.base = 1)) AS bigint)").alias(f"n_{name}") for k, name in enumerate(KINDS)]
-    return found.select("doc_id", *count, written("found").alias("x")).select("doc_id", *(f"n_{k}" for k in KINDS), F.sha2(F.col("x.base").cast("binary"), 256).alias("base_sha256"), "x.spans")
+    return found.select("doc_id", *count, written("found").alias("x")).select("doc_id", *(f"n_{k}" for k in KINDS), F.sha2(F.col("x.base").cast("binary"), 256).alias("base_sha256"), "x.spans", "x.n_spans", "x.n_secret")
 
 
 def digest(spans: list[tuple[str, int, int]]) -> str:

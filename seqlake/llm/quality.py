@@ -9,10 +9,15 @@ inverse Cholesky factors are computed once and sent to the executors.
 Moments are summed over all labelled learning rows: each task adds up its own,
 then Spark sums by cell, so the driver gets the same few numbers at every size.
 
+The fewer rows a class has, the more its covariance is shrunk (by SIZE over its rows and
+SIZE, at least by the given shares), so that two rows of each class are enough.
+
 Defined cases: null and empty texts have the statistics of an empty text and a
-score; a doc_id with several labels takes their majority (ties: 0); a null label
-is no label; without labelled rows of both classes every score is 0.5; repeated
-rows are scored alike; other columns are ignored.
+score; very long texts are read whole; a doc_id with several labels takes their majority
+(ties: 0); a null label is no label; without two labelled learning rows of each class
+every score is 0.5; a score equal to CUT is kept; repeated rows are scored alike and a
+labelled one counts as often as it occurs; other columns are ignored, whatever their
+names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -99,7 +104,7 @@ def _moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 class Discriminant:
     def __init__(self, sums: np.ndarray):
         n = sums[:, 0, 0]
-        self.known = bool((n > SIZE + 1).all())
+        self.known = bool((n >= 2).all())
         if not self.known:
             return
         self.mean = sums[:, 0, 1:] / n[:, None]
@@ -109,7 +114,8 @@ class Discriminant:
         self.prior = np.log(n / n.sum())
         self.factor, self.log_det = [], []
         for c in (0, 1):
-            lower = np.linalg.cholesky((1 - SHRINK_POOLED - SHRINK_DIAGONAL) * own[c] + SHRINK_POOLED * pooled + SHRINK_DIAGONAL * diagonal)
+            to_pooled, to_diagonal = max(SHRINK_POOLED, SIZE / (n[c] + SIZE)), max(SHRINK_DIAGONAL, SIZE / (n.sum() + SIZE))
+            lower = np.linalg.cholesky((1 - to_diagonal) * ((1 - to_pooled) * own[c] + to_pooled * pooled) + to_diagonal * diagonal)
             self.factor.append(np.linalg.inv(lower))
             self.log_det.append(2 * np.log(np.diag(lower)).sum())
 

@@ -84,12 +84,46 @@ def test_discriminant_is_the_gaussian_posterior():
     logs = []
     for v in x:
         own, pooled = np.cov(v.T, bias=True), (np.cov(x[0].T, bias=True) + np.cov(x[1].T, bias=True)) / 2
-        cov = 0.9 * own + 0.05 * pooled + 0.05 * np.diag(np.diag(pooled) + 1e-6)
+        cov = 0.95 * (0.95 * own + 0.05 * pooled) + 0.05 * np.diag(np.diag(pooled) + 1e-6)
         d = point - v.mean(axis=0)
         logs.append(-0.5 * (np.linalg.slogdet(cov)[1] + np.einsum("ij,jk,ik->i", d, np.linalg.inv(cov), d)))
     assert np.allclose(model.score(point), 1 / (1 + np.exp(logs[0] - logs[1])), atol=1e-6)
 
 
+def brute_statistics(text):
+    """One number after another, from the text's code points and lines."""
+    raw = text.encode()
+    kind = Counter()
+    for c in text:
+        b = c.encode()[0]
+        kind["letter" if "a" <= c <= "z" or b >= 0xC0 else "upper" if "A" <= c <= "Z" else "digit" if "0" <= c <= "9" else "space" if c in " \t" else "line" if c in "\n\r" else "mark" if c in ".,;:'\"()-" else "call" if c in "!?" else "bar" if c == "|" else "other"] += 1
+    words, lines, n = raw.split(), raw.split(b"\n"), len(text)
+    letters, rate = kind["letter"] + kind["upper"], lambda x, n: np.log((x + 0.5) / (n + 10))
+    return [
+        np.log1p(len(words)), rate(kind["upper"], letters), *(rate(kind[k], n) for k in ("digit", "line", "mark", "call", "bar", "other", "space")),
+        np.log((letters + 5) / (len(words) + 1)), np.log((len(set(words)) + 1) / (len(words) + 1)) + 0.2 * np.log1p(len(words)),
+        np.log((len(set(lines)) + 1) / (len(lines) + 1)), np.log((len(words) + 1) / (len(lines) + 1)), rate(sum(a == b for a, b in zip(words, words[1:])), len(words)),
+    ]
+
+
+def test_statistics_are_those_of_plain_loops():
+    texts = [t or "" for t in messy.texts()] + ["a a b!? | x\ty\r\n\n42 -- «é»", "|||", "The the THE the the"]
+    got = quality.statistics([t.encode() for t in texts])
+    assert np.allclose(got, [brute_statistics(t) for t in texts])
+
+
+@pytest.mark.parametrize("n", [2, 5, 30])
+def test_few_labels_are_enough(spark, n):
+    rng = np.random.default_rng(n)
+    rows = [(i, prose(rng, 60) if i % 2 else " | ".join(prose(rng, 60).upper().split()) + " !!! $$$", "en", "a") for i in range(400)]
+    learnt = [i for i in range(400) if remainder(i, 5)]
+    labels = [(i, i % 2, 0, None) for y in (0, 1) for i in [i for i in learnt if i % 2 == y][:n]]
+    out = quality.scores(messy.documents(spark, rows), messy.labels(spark, labels)).collect()
+    assert np.mean([r["predicted"] == r["doc_id"] % 2 for r in out]) > 0.95
+    alone = quality.scores(messy.documents(spark, rows), messy.labels(spark, [x for x in labels if x[1]] + labels[:1])).collect()
+    assert {r["score"] for r in alone} == {0.5}
+
+
 def test_folds_are_those_of_crc32(spark):
     rows = spark.range(500).select("id", common.fold(common.F.col("id"), 5).alias("f")).collect()
     assert all(r["f"] == remainder(r["id"], 5) for r in rows)
@@ -266,8 +300,39 @@ def test_phrases_are_greedy_longest_matches():
                 n += 1
             want, at = want + 1, at + n
         grid = text[:, None].astype(np.uint8)
-        got = langid.phrases(table, grid, np.ones(len(text), int))[0]
+        got = langid.phrases(table, grid, np.ones(len(text), int), np.array([-1]))[0]
         assert got == want
+        # In lanes that go on from one another, the longest first.
+        size = int(rng.integers(1, 9))
+        parts = [text[i : i + size] for i in range(0, len(text), size)]
+        lanes = np.zeros((size, len(parts)), np.uint8)
+        for i, p in enumerate(parts):
+            lanes[: len(p), i] = p
+        live = np.array([sum(len(p) > step for p in parts) for step in range(size)])
+        assert langid.phrases(table, lanes, live, np.arange(len(parts)) - 1).sum() == want
+
+
+def test_long_texts_are_parsed_unbroken():
+    rng = np.random.default_rng(2)
+    text = lambda letters, n: "".join(rng.choice(list(letters), n))
+    r = langid.Recogniser({"a": text("abcde ", 3000), "b": text("cdefg ", 3000)})
+    texts = [text("abcdefg ", n).encode() for n in (5000, 10, 3, 2048, 1024, 1025, 9000)] + [b"", b"??"]
+    def brute(language, raw):
+        signs = r.alphabet.signs([raw])[0]
+        state, n = 0, 0
+        for c in signs.tolist():
+            to = r.tables[language][state, c]
+            n += state == 0 or to < 0
+            state = to if to >= 0 else max(0, r.tables[language][0, c])
+        return n / max(1, len(signs))
+    langs, scores = r.predict(texts)
+    for raw, lang, score in zip(texts, langs, scores):
+        rate = [brute(i, raw) for i in (0, 1)]
+        if r.alphabet.signs([raw])[1][0]:
+            assert lang == "ab"[int(rate[1] < rate[0])]
+            assert np.isclose(score, 1 / sum(np.exp(-langid.SHARPNESS * (x - min(rate))) for x in rate))
+        else:
+            assert (lang, score) == ("und", 0)
 
 
 def test_languages(spark, small):
