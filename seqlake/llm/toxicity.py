@@ -40,7 +40,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
@@ -407,9 +407,9 @@ def _signs(wanted):
     return run
 
 
-def build(words: list[str], n: np.ndarray, every: np.ndarray, pair: dict[str, np.ndarray], top: dict[str, np.ndarray], low: Shared) -> Model:
-    """words with counts by class n (2, words) and in all documents; pair: before, after, key, n (2, pairs), every;
-    top: context, key and count of the signs of all documents' words after the contexts of these words."""
+def build(words: list[str], n: np.ndarray, top: dict[str, np.ndarray], low: Shared) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray, list[np.ndarray]]:
+    """words with counts by class n (2, words); top: context, key and count of the signs of all documents' words after the
+    contexts of these words. Keys and log ratios of signs and of their contexts; each word's hash, and its log chance by class."""
     parts = []
     for block in _blocks(len(words)):  # the driver holds the distinct runs of signs, and the signs of one block of words
         word, orders = spelt(*_joined(words[block]))
@@ -438,7 +438,6 @@ def build(words: list[str], n: np.ndarray, every: np.ndarray, pair: dict[str, np
         left.append(model.left)
     logs = [np.log(x) for x in chance]
     sign, back = logs[1] - logs[0], np.log(left[1]) - np.log(left[0])
-    # Pairs: of each the chance of its second word under both classes, by its letters.
     whole, named = [np.zeros(len(words)) for _ in (0, 1)], np.zeros(len(words), np.uint64)
     for block in _blocks(len(words)):
         codes, first, last = _joined(words[block])
@@ -447,23 +446,31 @@ def build(words: list[str], n: np.ndarray, every: np.ndarray, pair: dict[str, np
         at = np.searchsorted(keys, orders[TOP][1])
         for c in (0, 1):
             whole[c][block] = np.bincount(word, logs[c][at], len(first))
-    order = np.argsort(named)
-    second, known = looked_up(named[order], pair["after"])
-    lead, place = np.unique(pair["before"], return_inverse=True)
-    held = np.bincount(place, pair["every"], len(lead))
-    total = np.maximum(held, _taken(named[order], every[order], lead))
-    cut = _discount(pair["every"])
-    together = np.maximum(pair["every"] - cut, 0) / np.maximum(total[place], 1)
-    rest = 1 - np.bincount(place, together, len(lead))
-    chance, left = [], []
-    for c in (0, 1):
-        model = Counts(place, pair["key"], pair["n"][c])
-        chance.append(model.share + model.left[place] * (together + rest[place] * np.exp(whole[c][order[second]])))
-        left.append(model.left)
-    assert known.all()
-    ratio = np.log(chance[1]) - np.log(chance[0])
-    tables = [(keys, sign), (contexts, back), (pair["key"], ratio), (lead, np.log(left[1]) - np.log(left[0]))]
-    return Model([Model._sorted(*t) for t in tables])
+    return [(keys, sign), (contexts, back)], named, whole
+
+
+def pair_ratios(both: DataFrame, words: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """both: before, after, pair, o, t, n (counts by class and in all documents); words: word (hash), n, c0, c1 (chances).
+
+    (pair, ratio) and (before, ratio), logs of toxic over ordinary: a pair's discounted share of what its class has after its
+    first word, backed by its share in all documents, backed by the second word's own chance."""
+    seen = lambda c, k: F.count_if(F.col(c) == k)
+    once = both.agg(*(seen(c, k).alias(f"{c}{k}") for c in "otn" for k in (1, 2))).first()
+    cut = {c: discount(once[f"{c}1"], once[f"{c}2"]) for c in "otn"}
+    together = F.greatest(F.col("n") - cut["n"], F.lit(0.0))
+    sums = [F.sum(c).alias(f"total_{c}") for c in "otn"] + [F.count_if(F.col(c) > 0).alias(f"kinds_{c}") for c in "ot"]
+    lead = both.groupBy("before").agg(*sums, F.sum(together).alias("held")).join(words.select(F.col("word").alias("before"), F.col("n").alias("alone")), "before", "left")
+    whole = F.greatest("total_n", F.coalesce("alone", F.lit(0)))
+    left = lambda c: F.when(F.col(f"total_{c}") > 0, cut[c] * F.col(f"kinds_{c}") / F.col(f"total_{c}")).otherwise(1.0)
+    lead = common.stored(lead.select("before", "total_o", "total_t", whole.alias("whole"), (1 - F.col("held") / whole).alias("rest"), left("o").alias("left_o"), left("t").alias("left_t")), "leads")
+
+    def chance(c: str, own: str) -> Column:
+        share = F.when(F.col(f"total_{c}") > 0, F.greatest(F.col(c) - cut[c], F.lit(0.0)) / F.col(f"total_{c}")).otherwise(0.0)
+        return share + F.col(f"left_{c}") * (together / F.col("whole") + F.col("rest") * F.col(own))
+
+    joined = both.join(lead, "before").join(words.select(F.col("word").alias("after"), "c0", "c1"), "after")
+    ratios = joined.select("pair", (F.log(chance("t", "c1")) - F.log(chance("o", "c0"))).cast("float").alias("ratio"))
+    return ratios, lead.select("before", (F.log("left_t") - F.log("left_o")).cast("float").alias("ratio"))
 
 
 def labelled_sample(labels: DataFrame, most: int = MOST_LABELS) -> DataFrame:
@@ -506,7 +513,6 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELS):
     rows = thin.select("text").mapInArrow(_counted(held), "word string, pair long, n long")
     every = common.stored(rows.groupBy("word", "pair").agg(F.sum("n").alias("n")), "all_counts")
     words = counts.where("word is not null").select("word", "o", "t").join(every.where("word is not null").select("word", "n"), "word").toArrow()
-    both = counts.where("word is null").select("pair", "before", "after", F.col("o").cast("int").alias("o"), F.col("t").cast("int").alias("t")).join(every.where("word is null").select("pair", "n"), "pair").drop("pair").toArrow()
     texts = words["word"].to_pylist()
     contexts = [np.unique(spelt(*_joined(texts[block]))[1][TOP][0]) for block in _blocks(len(texts))]
     wanted = spark.sparkContext.broadcast(np.unique(np.concatenate(contexts)))
@@ -522,9 +528,14 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELS):
         tables[order] = (key[mine], n[mine], contexts, np.bincount(place, n[mine]), np.bincount(place))
         cuts[order] = _discount(n[mine])
     top = {"context": context[part == TOP], "key": key[part == TOP], "n": n[part == TOP]}
-    before, after = _unsigned(both["before"]), _unsigned(both["after"])
-    pair = {"before": before, "after": after, "key": _pair(before, after), "n": np.stack([both["o"].to_numpy(), both["t"].to_numpy()]), "every": both["n"].to_numpy()}
-    model = build(texts, np.stack([words["o"].to_numpy(), words["t"].to_numpy()]), words["n"].to_numpy(), pair, top, Shared(tables, cuts))
+    tables, named, whole = build(texts, np.stack([words["o"].to_numpy(), words["t"].to_numpy()]), top, Shared(tables, cuts))
+    own = {"word": named.view(np.int64), "n": words["n"].to_numpy(), "c0": np.exp(whole[0]), "c1": np.exp(whole[1])}
+    del words, texts, top, part, context, key, n
+    both = counts.where("word is null").drop("word").join(every.where("word is null").select("pair", "n"), "pair")
+    for found in pair_ratios(both, spark.createDataFrame(pa.table(own))):
+        rows = found.toArrow()
+        tables.append((_unsigned(rows[0]), rows[1].to_numpy()))
+    model = Model([Model._sorted(*t) for t in tables])
     sent = spark.sparkContext.broadcast(model)
     found = evidence_udf(sent)
     marked = thin.join(F.broadcast(sample.where(calibrates)), "doc_id").select("y", "weight", found("text").alias("e")).toArrow()
