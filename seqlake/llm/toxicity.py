@@ -48,6 +48,8 @@ from . import common, quality
 
 FOLDS = 5
 CALIBRATION = 1
+#: A batch is read in parts of so many bytes: a part takes about a hundred times that in arrays of its letters and words.
+PART_BYTES = 1 << 20
 ORDER = 12
 LOW = 4
 MOST_LABELS = 2_000
@@ -303,7 +305,7 @@ def _counted_sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
     """word, before, pair, after, o, t: counts of words, and (word null) of pairs, by class."""
     for b in batches:
         kinds, at = b.column("y").to_numpy(zero_copy_only=False), 0
-        for texts in common.chunks(b.column("text")):
+        for texts in common.chunks(b.column("text"), PART_BYTES):
             kind = kinds[at : at + len(texts)]
             at += len(texts)
             codes, first, last, doc = read(texts)
@@ -353,7 +355,7 @@ def _counted(held):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tally, together = _Tally(), np.zeros(len(held.value), np.int64)
         for b in batches:
-            for texts in common.chunks(b.column("text")):
+            for texts in common.chunks(b.column("text"), PART_BYTES):
                 codes, first, last, doc = read(texts)
                 words = hashes(codes, first, last)
                 own = _once(doc, words)
@@ -546,7 +548,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELS):
 def evidence_udf(sent):
     @arrow_udf("array<double>")
     def found(text: pa.Array) -> pa.Array:
-        rows = [evidence(part, sent.value) for part in common.chunks(text)]
+        rows = [evidence(part, sent.value) for part in common.chunks(text, PART_BYTES)]
         flat = np.concatenate(rows) if rows else np.zeros((0, SIZE))
         return pa.ListArray.from_arrays(pa.array(np.arange(0, flat.size + 1, SIZE, dtype=np.int32)), pa.array(flat.ravel()))
 
@@ -559,7 +561,7 @@ def scores(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELS) -> DataF
 
     @arrow_udf("double")
     def score(text: pa.Array) -> pa.Array:
-        rows = [np.zeros(len(part)) if sent is None else curve.score(evidence(part, sent.value)) for part in common.chunks(text)]
+        rows = [np.zeros(len(part)) if sent is None else curve.score(evidence(part, sent.value)) for part in common.chunks(text, PART_BYTES)]
         return pa.array(np.concatenate(rows) if rows else np.zeros(0))
 
     held = common.fold(F.col("doc_id"), FOLDS) == 0
