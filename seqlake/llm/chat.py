@@ -11,7 +11,8 @@ Defined cases: turns are ordered by number, then role and text, nulls first; a n
 role or text counts as empty; repeated turns stay; a pair with one side has an empty
 prompt and a null completion and mask for the other; equal conversations are all
 prompt, with empty completions; rows without a conversation id belong to no pair;
-empty tables give empty results; other columns are ignored.
+very long texts are rendered whole; empty tables give empty results; other columns are
+ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -65,6 +66,6 @@ def preference(pairs: DataFrame) -> DataFrame:
 
 
 def neighbours(turns: DataFrame) -> DataFrame:
-    """Pairs of conversations 2k (chosen) and 2k + 1 (rejected)."""
-    rows = conversations(turns).select(F.expr("conv_id div 2").alias("pair_id"), (F.pmod("conv_id", F.lit(2)) == 0).alias("good"), "turns")
+    """Pairs of conversations 2k (chosen) and 2k + 1 (rejected), k negative too."""
+    rows = conversations(turns).select(F.shiftright("conv_id", 1).alias("pair_id"), (F.pmod("conv_id", F.lit(2)) == 0).alias("good"), "turns")
     return rows.groupBy("pair_id").agg(F.max(F.when(F.col("good"), F.struct("turns")))["turns"].alias("chosen"), F.max(F.when(~F.col("good"), F.struct("turns")))["turns"].alias("rejected"))

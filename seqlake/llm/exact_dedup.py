@@ -12,8 +12,9 @@ joined back with a join whose large side adaptive execution may split.
 
 Defined cases: a null text counts as empty; texts are compared after lower-casing
 A-Z only; of equal texts the row with the largest doc_id is kept, a null doc_id
-coming last, and of rows that also share the doc_id exactly one is kept; an empty
-table gives an empty result; other columns are ignored.
+coming last, and of rows that also share the doc_id exactly one is kept; very long texts
+are compared to their end; an empty table gives an empty result; other columns are
+ignored, whatever their names.
 """
 
 from __future__ import annotations

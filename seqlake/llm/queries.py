@@ -70,7 +70,7 @@ _FOLDED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefgh
 
 SQL = {
     "op1_chat_formatting": """
-WITH t AS (SELECT conv_id // 2 AS pair_id, conv_id % 2 AS side, coalesce(role, '') AS role, coalesce(text, '') AS text,
+WITH t AS (SELECT CAST(floor(conv_id / 2.0) AS BIGINT) AS pair_id, conv_id - 2 * CAST(floor(conv_id / 2.0) AS BIGINT) AS side, coalesce(role, '') AS role, coalesce(text, '') AS text,
              row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS i
            FROM conversations WHERE conv_id IS NOT NULL),
 r AS (SELECT *, concat('<|', role, '|>', chr(10), text, chr(10), '<|end|>', chr(10)) AS s FROM t),

@@ -349,6 +349,7 @@ def test_chat(spark):
     talk = {
         0: [("user", "hi"), ("assistant", "yes"), ("user", "more"), ("assistant", "ok")], 1: [("user", "hi"), ("assistant", "no")],
         2: [("user", "same")], 3: [("user", "same")], 4: [("user", "lone"), ("assistant", "é😀")], 7: [(None, None)],
+        -1: [("user", "alone")], -4: [("user", "b"), ("assistant", "long " * 50_000)], -3: [("user", "b")],
         8: [("user", "a"), ("assistant", "b")], 9: [("user", "a"), ("assistant", "b"), ("user", "c")],
     }
     for conv, turns in talk.items():
@@ -357,7 +358,7 @@ def test_chat(spark):
     talk[10] = [("user", "first"), ("user", "dup"), ("user", "dup")]
     turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, at string").repartition(3)
     out = {r["pair_id"]: r for r in chat.preference(chat.neighbours(turns)).collect()}
-    assert sorted(out) == [0, 1, 2, 3, 4, 5]
+    assert sorted(out) == [-2, -1, 0, 1, 2, 3, 4, 5]
     for pair, r in out.items():
         sides = [[(a or "", b or "") for a, b in talk[c]] if (c := 2 * pair + s) in talk else None for s in (0, 1)]
         k = 0
