@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import SparkSession
 
 from ..errors import IoError
@@ -13,8 +15,9 @@ class Files:
         self.spark, self.root = spark, root.rstrip("/")
         self._jvm = spark.sparkContext._jvm
         self._fs = self._path("").getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        self._plain = False
         if raw and self._fs.getClass().getName() == "org.apache.hadoop.fs.LocalFileSystem":
-            self._fs = self._fs.getRaw()
+            self._fs, self._plain = self._fs.getRaw(), True
 
     def _path(self, name: str):
         return self._jvm.org.apache.hadoop.fs.Path(self.path(name))
@@ -28,7 +31,10 @@ class Files:
     def read(self, name: str) -> str:
         if not self.exists(name):
             raise IoError(f"{self.path(name)} does not exist")
-        stream = self._fs.open(self._path(name))
+        try:
+            stream = self._fs.open(self._path(name))
+        except Exception as e:
+            raise IoError(f"cannot read {self.path(name)}") from e
         try:
             return self._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
         finally:
@@ -51,6 +57,10 @@ class Files:
     def replace(self, name: str, text: str, sync: bool = False) -> None:
         """Readers see the old text or the new one."""
         self.write(f"{name}.tmp", text, overwrite=True, sync=sync)
+        if self._plain:  # Hadoop removes a local file before it renames another over it; between the two it would be missing
+            local = self._path(name).toUri().getPath()
+            os.replace(f"{local}.tmp", local)
+            return
         jvm = self._jvm
         context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._path("").toUri(), self.spark.sparkContext._jsc.hadoopConfiguration())
         option = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE

@@ -354,6 +354,31 @@ def test_a_lease_runs_out_and_is_fenced(spark, tmp_path):
     first.close()
 
 
+def test_a_lease_is_held_while_it_is_renewed(spark, tmp_path):
+    import threading
+
+    from seqlake.sources.files import Files
+    from seqlake.sources.leases import Lease
+
+    files = Files(spark, f"file://{tmp_path}")
+    lease, over = Lease(files, "LOCK", 30), threading.Event()
+
+    def renew():
+        while not over.is_set():
+            lease.renew()
+
+    renewer = threading.Thread(target=renew)
+    renewer.start()
+    for _ in range(40):
+        assert lease.held()
+        with pytest.raises(IoError):
+            Lease(files, "LOCK", 60)
+    over.set()
+    renewer.join(30)
+    lease.release()
+    assert not lease.held()
+
+
 def test_readers_outlive_maintenance(spark, tmp_path):
     path = f"file://{tmp_path}/db"
     with Database.open(spark, path, NEW) as db:
