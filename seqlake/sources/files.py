@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import os
+import time
+import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import SparkSession
 
 from ..errors import IoError
@@ -14,10 +17,16 @@ class Files:
         """raw: without the checksum files beside local ones, which are not replaced in one step with what they check."""
         self.spark, self.root = spark, root.rstrip("/")
         self._jvm = spark.sparkContext._jvm
-        self._fs = self._path("").getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        self._plain = False
-        if raw and self._fs.getClass().getName() == "org.apache.hadoop.fs.LocalFileSystem":
-            self._fs, self._plain = self._fs.getRaw(), True
+        conf = spark.sparkContext._jsc.hadoopConfiguration()
+        self._fs = self._path("").getFileSystem(conf)
+        self._plain = raw and self._fs.getUri().getScheme() == "file"
+        if self._plain:  # made here, as the class behind the scheme may be a subclass or a proxy
+            uri = self._fs.getUri()
+            self._fs = self._jvm.org.apache.hadoop.fs.RawLocalFileSystem()
+            self._fs.initialize(uri, conf)
+
+    def _local(self, name: str) -> str:
+        return self._path(name).toUri().getPath()
 
     def _path(self, name: str):
         return self._jvm.org.apache.hadoop.fs.Path(self.path(name))
@@ -33,12 +42,12 @@ class Files:
             raise IoError(f"{self.path(name)} does not exist")
         try:
             stream = self._fs.open(self._path(name))
-        except Exception as e:
+            try:
+                return self._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+            finally:
+                stream.close()
+        except Py4JJavaError as e:
             raise IoError(f"cannot read {self.path(name)}") from e
-        try:
-            return self._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
-        finally:
-            stream.close()
 
     def write(self, name: str, text: str, overwrite: bool = False, sync: bool = False) -> bool:
         """False if the file is there and may not be overwritten. sync: the bytes are on disk when this returns."""
@@ -54,13 +63,37 @@ class Files:
         out.close()
         return True
 
+    def write_new(self, name: str, text: str) -> bool:
+        """False if the file is there. Of several writers one succeeds; a plain local file appears with all its text."""
+        if not self._plain:
+            return self.write(name, text)
+        local, aside = self._local(name), f"{self._local(name)}.{uuid.uuid4().hex}.tmp"
+        os.makedirs(os.path.dirname(local), exist_ok=True)
+        with open(aside, "w", encoding="utf-8") as out:
+            out.write(text)
+        try:
+            os.link(aside, local)
+        except FileExistsError:
+            return False
+        finally:
+            os.remove(aside)
+        return True
+
+    def age(self, name: str) -> float:
+        """Seconds since the file was last written, by this machine's clock; 0 if it is not there."""
+        try:
+            return time.time() - self._fs.getFileStatus(self._path(name)).getModificationTime() / 1000
+        except Py4JJavaError:
+            return 0.0
+
     def replace(self, name: str, text: str, sync: bool = False) -> None:
         """Readers see the old text or the new one."""
-        self.write(f"{name}.tmp", text, overwrite=True, sync=sync)
         if self._plain:  # Hadoop removes a local file before it renames another over it; between the two it would be missing
-            local = self._path(name).toUri().getPath()
-            os.replace(f"{local}.tmp", local)
+            aside = f"{name}.{uuid.uuid4().hex}.tmp"
+            self.write(aside, text, sync=sync)
+            os.replace(self._local(aside), self._local(name))
             return
+        self.write(f"{name}.tmp", text, overwrite=True, sync=sync)
         jvm = self._jvm
         context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._path("").toUri(), self.spark.sparkContext._jsc.hadoopConfiguration())
         option = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
@@ -86,9 +119,15 @@ class Files:
 
     def take(self, old: str, new: str) -> bool:
         """Renames; False if another was faster. Of several takers of a file one succeeds."""
+        if self._plain:
+            try:
+                os.rename(self._local(old), self._local(new))
+            except FileNotFoundError:
+                return False
+            return True
         try:
             return bool(self._fs.rename(self._path(old), self._path(new)))
-        except Exception:  # some file systems raise where others return false
-            if self.exists(old):
-                raise
-            return False
+        except Py4JJavaError as e:  # some file systems raise where others return false
+            if "FileNotFoundException" in e.java_exception.toString() or not self.exists(old):
+                return False
+            raise IoError(f"cannot rename {self.path(old)}") from e
