@@ -52,7 +52,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for name, stage in STAGES:
         path = f"{materialise.shared_dir(spark)}/{name}-{uuid.uuid4().hex[:8]}"
         with materialise.scope(spark):
-            stage(spark, docs, sf_dir).write.parquet(path)
+            stage(spark, docs, sf_dir).write.options(**materialise.PLAIN).parquet(path)
         if before:
             materialise.remove(spark, before)
         docs, before = spark.read.parquet(path), path

@@ -106,7 +106,8 @@ def classes(docs: DataFrame, carry: list[str] = ()) -> DataFrame:
     out = done[0]
     for part in done[1:]:
         out = out.unionByName(part)
-    out = out.withColumn("text_sha256", F.lower(F.hex("sha"))).drop("sha")
+    # Each level has files of its own, and each file was a part: no more parts than a shuffle deals.
+    out = out.coalesce(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))).withColumn("text_sha256", F.lower(F.hex("sha"))).drop("sha")
     return out if carry else out.drop("row")
 
 

@@ -9,6 +9,10 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Without its native library Hadoop sets the mode of each local folder and file by a child process, which until it runs its
+#: own program has all of the executor's memory. A part costs three with Hadoop's checksums beside it and two without; these
+#: options of a write leave them out for tables that live as long as the application.
+PLAIN = {"fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem", "fs.file.impl.disable.cache": "true"}
 _ROOTS: dict[str, str] = {}
 _SCOPES: list[list[str]] = []
 
@@ -55,5 +59,5 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex[:8]}"
     if _SCOPES:
         _SCOPES[-1].append(path)
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.options(**PLAIN).option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

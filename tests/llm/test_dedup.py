@@ -57,6 +57,13 @@ def test_exact_keep_one(spark):
     assert exact_dedup.keep_one(messy.nothing(spark)).count() == 0
 
 
+def test_exact_parts_do_not_add_up_over_levels(spark):
+    head = "h" * exact_dedup.HEAD
+    docs = messy.documents(spark, [(i, head + "z" * (700 * (i % 40)), None, None) for i in range(400)]).repartition(8)
+    check_exact(docs)
+    assert exact_dedup.classes(docs).rdd.getNumPartitions() <= int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def brute_fingerprint(text):
     words = (text or "").translate(FOLD).encode().split()
     if not words:
