@@ -40,7 +40,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
@@ -423,8 +423,10 @@ def build(words: list[str], n: np.ndarray, top: dict[str, np.ndarray], low: Shar
     del parts
     keys, one, at = np.unique(key, return_index=True, return_inverse=True)
     by_class = [np.bincount(at, x, len(keys)) for x in by_class]
-    contexts, place = np.unique(context[one], return_inverse=True)
-    below = below[one]
+    context, below = context[one], below[one]
+    del key, one, at
+    contexts, place = np.unique(context, return_inverse=True)
+    del context
     # All documents' signs after these contexts: totals and kinds need them all, shares only those of the sample.
     mine, here = looked_up(contexts, top["context"])
     mine, count = mine[here], top["n"][here]
@@ -433,6 +435,7 @@ def build(words: list[str], n: np.ndarray, top: dict[str, np.ndarray], low: Shar
     own = _taken(top["key"][order], top["n"][order], keys)
     shared = Counts(place, keys, own, total, kinds, _discount(count))
     base = shared.share + shared.left[place] * below
+    del mine, here, count, order, own, shared, below
     chance, left = [], []
     for x in by_class:
         model = Counts(place, keys, x)
@@ -475,6 +478,20 @@ def pair_ratios(both: DataFrame, words: DataFrame) -> tuple[DataFrame, DataFrame
     return ratios, lead.select("before", (F.log("left_t") - F.log("left_o")).cast("float").alias("ratio"))
 
 
+def dealt(spark: SparkSession, columns: dict[str, np.ndarray], kinds: str) -> DataFrame:
+    """A table of arrays of the driver. Tasks make its rows: those of a local relation are objects of the driver's JVM, made anew at each use."""
+    sent = spark.sparkContext.broadcast(columns)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at = b.column("id").to_numpy()
+            yield pa.RecordBatch.from_arrays([pa.array(x[at]) for x in sent.value.values()], list(sent.value))
+
+    out = common.stored(spark.range(len(next(iter(columns.values())))).mapInArrow(run, kinds), "dealt")
+    sent.destroy()
+    return out
+
+
 def labelled_sample(labels: DataFrame, most: int = MOST_LABELS) -> DataFrame:
     """doc_id, y, weight of the learning folds: all of a class, or ``most`` at most, by the hash of their ids.
     A row's weight is the number of its class's rows that it stands for.
@@ -514,12 +531,14 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELS):
     held = spark.sparkContext.broadcast(np.sort(_unsigned(counts.where("word is null").select("pair").toArrow()["pair"])))
     rows = thin.select("text").mapInArrow(_counted(held), "word string, pair long, n long")
     every = common.stored(rows.groupBy("word", "pair").agg(F.sum("n").alias("n")), "all_counts")
+    held.destroy()
     words = counts.where("word is not null").select("word", "o", "t").join(every.where("word is not null").select("word", "n"), "word").toArrow()
     texts = words["word"].to_pylist()
     contexts = [np.unique(spelt(*_joined(texts[block]))[1][TOP][0]) for block in _blocks(len(texts))]
     wanted = spark.sparkContext.broadcast(np.unique(np.concatenate(contexts)))
     signs = every.where("word is not null").select("word", "n").mapInArrow(_signs(wanted), "part int, context long, key long, n long")
     signs = signs.groupBy("part", "context", "key").agg(F.sum("n").alias("n")).toArrow()
+    wanted.destroy()
     part, context, key, n = signs["part"].to_numpy(), _unsigned(signs["context"]), _unsigned(signs["key"]), signs["n"].to_numpy()
     del contexts, signs
     tables, cuts = {}, {}
@@ -530,11 +549,12 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELS):
         tables[order] = (key[mine], n[mine], contexts, np.bincount(place, n[mine]), np.bincount(place))
         cuts[order] = _discount(n[mine])
     top = {"context": context[part == TOP], "key": key[part == TOP], "n": n[part == TOP]}
+    del part, context, key, n, mine, place
     tables, named, whole = build(texts, np.stack([words["o"].to_numpy(), words["t"].to_numpy()]), top, Shared(tables, cuts))
     own = {"word": named.view(np.int64), "n": words["n"].to_numpy(), "c0": np.exp(whole[0]), "c1": np.exp(whole[1])}
-    del words, texts, top, part, context, key, n
+    del words, texts, top
     both = counts.where("word is null").drop("word").join(every.where("word is null").select("pair", "n"), "pair")
-    for found in pair_ratios(both, spark.createDataFrame(pa.table(own))):
+    for found in pair_ratios(both, dealt(spark, own, "word long, n long, c0 double, c1 double")):
         rows = found.toArrow()
         tables.append((_unsigned(rows[0]), rows[1].to_numpy()))
     model = Model([Model._sorted(*t) for t in tables])

@@ -251,6 +251,18 @@ def test_the_models_are_kneser_neys(spark):
     assert brute.pair(1, "go", "back") > 2 * brute.pair(0, "go", "back")
 
 
+def test_chances_of_words_are_no_objects_of_the_driver(spark, corpus, monkeypatch):
+    """Tasks make the table of all words of the sample; it is no local relation."""
+    docs, labels, _ = corpus
+    docs, labels = (common.stored(x, "test") for x in (docs, labels))
+    monkeypatch.setattr(type(spark), "createDataFrame", lambda *a, **k: pytest.fail("rows in the driver"))
+    assert toxicity.fit(docs, labels)[1].known
+    columns = {"word": np.arange(-5, 20_000), "c0": np.linspace(0, 1, 20_005)}
+    rows = toxicity.dealt(spark, columns, "word long, c0 double").collect()
+    assert sorted(map(tuple, rows)) == list(zip(columns["word"].tolist(), columns["c0"].tolist()))
+    assert toxicity.dealt(spark, {"word": np.zeros(0, np.int64)}, "word long").count() == 0
+
+
 def test_distributions_sum_to_one():
     rng = np.random.default_rng(4)
     texts = [(prose(rng, 30), i % 2) for i in range(12)]
