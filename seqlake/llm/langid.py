@@ -207,8 +207,9 @@ def samples(docs: DataFrame, most: int = SAMPLE_DOCS) -> dict[str, str]:
 
     Texts are fetched only once the documents are chosen: that many, however often an id or a row is repeated."""
     learn = docs.where(F.col("lang").isNotNull() & (common.fold(F.col("doc_id"), FOLDS) != HELD)).select("lang", F.xxhash64("doc_id", "text").alias("h"), "text")
-    keys = common.stored(learn.select("lang", "h").distinct(), "learning_keys")
-    counts = {r["lang"]: r["n"] for r in keys.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    # Hashing once more costs less than storing the keys, which takes a file of each shuffle partition.
+    keys = learn.select("lang", "h")
+    counts = {r["lang"]: r["n"] for r in keys.distinct().groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not counts:
         return {}
     draw = F.pmod(F.col("h"), F.lit(1 << 30))
@@ -218,7 +219,7 @@ def samples(docs: DataFrame, most: int = SAMPLE_DOCS) -> dict[str, str]:
 
     # Some more than wanted, so that hardly ever fewer are drawn; the driver takes the first.
     drawn: dict[str, list[tuple[int, int]]] = {}
-    for r in keys.where(draw < by_lang({x: (1.5 * most + 50) / n * (1 << 30) for x, n in counts.items()})).select("lang", draw.alias("draw"), "h").collect():
+    for r in keys.where(draw < by_lang({x: (1.5 * most + 50) / n * (1 << 30) for x, n in counts.items()})).distinct().select("lang", draw.alias("draw"), "h").collect():
         drawn.setdefault(r["lang"], []).append((r["draw"], r["h"]))
     chosen = {x: sorted(found)[:most] for x, found in drawn.items()}
     if not chosen:

@@ -377,6 +377,14 @@ def test_repeated_ids_do_not_fill_the_driver(spark, monkeypatch):
     assert len(set(learnt["en"].split())) == langid.SAMPLE_DOCS + 1 and learnt["fr"] == "again "
 
 
+def test_keys_of_learning_rows_are_not_stored(spark, monkeypatch):
+    rows = [(i, f"some words {chr(97 + i % 26)}", "en" if i % 3 else "fr", "a") for i in range(900)]
+    rows += rows[:300]
+    monkeypatch.setattr(langid.common, "stored", lambda *a: pytest.fail("a file of each shuffle partition"))
+    learnt = langid.samples(messy.documents(spark, rows), 50)
+    assert {x: len(t.split()) for x, t in learnt.items()} == {"en": 150, "fr": 150}
+
+
 def test_languages_hostile(spark):
     docs = messy.documents(spark)
     out = langid.predictions(docs).collect()
